@@ -7,8 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
-from .common import documents
+from . import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
+from .common import documents, fold
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language_id.train_from(docs, fold("doc_id", 5) != 0)
+    out = language_id.identify(docs, model, ["doc_id"])
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(F.col("__id").alias("doc_id"), simhash.hex_print(F.col("__fp")).alias("fingerprint"), F.col("__component").alias("component_id"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from rows whose fold of 3 is not 1, language thresholds included."""
+    docs, usable = documents(spark, sf_dir).select("doc_id", "text", "lang"), fold("doc_id", 3) != 1
+    language = language_id.train_from(docs, usable, per_language=600)
+    return toxicity.train_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable, language=language)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    out = toxicity.score_documents(documents(spark, sf_dir).select("doc_id", "text"), model, ["doc_id"])
+    score = F.col("__toxicity")
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +69,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
