@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, sharding, simhash, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -27,6 +27,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.lm_scores(documents(spark, sf_dir))
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Learned from rows whose fold of 3 is not 1, language thresholds included."""
     docs, usable = documents(spark, sf_dir).select("doc_id", "text", "lang"), fold("doc_id", 3) != 1
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
