@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, pii, sharding, simhash, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.detect(docs, pii.train_from(docs))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(F.col("__id").alias("doc_id"), simhash.hex_print(F.col("__fp")).alias("fingerprint"), F.col("__component").alias("component_id"))
@@ -75,6 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,

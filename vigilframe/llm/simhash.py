@@ -130,20 +130,21 @@ def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096) -> DataFrame
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row per input row: __id, __fp and __component, the smallest id of the group.
+    """One row per input row: __id, __hash (of the text), __fp, __root (a fingerprint that names the group) and __component, its smallest id.
 
     Fingerprints link at `radius` bits or fewer; a group is what links reach. Texts without words (null, empty, blank)
     have fingerprint 0 and link like any other. Null ids count for no minimum: a group of null ids has a null component.
     Repeated rows stay repeated. An empty table gives an empty result.
     """
-    rows = materialize(with_fingerprint(docs.withColumn("__id", F.col(id_col)), ["__id"], text_col))
+    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__hash"), F.col(text_col).alias("__body"))
+    rows = materialize(with_fingerprint(keyed, ["__id", "__hash"], "__body"))
     prints = materialize(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("low")))
     links = components(near_links(prints, radius))
     rooted = prints.join(links, prints["fp"] == links["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     # a component may hold a third of all fingerprints: its minimum is combined before the shuffle, and its rows may be split
     least = rooted.groupBy("root").agg(F.min("low").alias("__component")).select(F.concat(F.lit("r"), F.col("root").cast("string")).alias("k"), "__component")
-    named = rooted.withColumn("k", F.concat(F.lit("r"), F.col("root").cast("string"))).join(least, "k").select((F.col("fp") + 1).alias("fp1"), "__component")
-    return rows.join(named, rows["__fp"] + 1 == named["fp1"]).select("__id", "__fp", "__component")
+    named = rooted.withColumn("k", F.concat(F.lit("r"), F.col("root").cast("string"))).join(least, "k").select((F.col("fp") + 1).alias("fp1"), F.col("root").alias("__root"), "__component")
+    return rows.join(named, rows["__fp"] + 1 == named["fp1"]).select("__id", "__hash", "__fp", "__root", "__component")
 
 
 def hex_print(fp: Column) -> Column:
