@@ -87,8 +87,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 16, orders: tuple[int, ...] = (2, 3, 4), epochs: int = 4, rate: float = 0.5, target_accuracy: float = 0.99, seed: int = 0) -> LanguageModel:
-    """Stochastic gradient descent, one text a step; a fifth of the texts calibrates temperature and rejection.
+def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 16, orders: tuple[int, ...] = (2, 3, 4), least_steps: int = 16_000, rate: float = 0.5, target_accuracy: float = 0.99, seed: int = 0) -> LanguageModel:
+    """Stochastic gradient descent, one text a step, as many epochs as least_steps takes; a fifth of the texts calibrates temperature and rejection.
 
     The rejection threshold is the lowest at which the accepted calibration texts reach target_accuracy.
     """
@@ -111,6 +111,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
         ids = ids[ids > 0]
         if len(ids):
             bags[i] = (ids, n / n.sum())
+    epochs = -(-least_steps // max(1, len(bags)))
     steps, t = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(list(bags)):

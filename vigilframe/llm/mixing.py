@@ -25,7 +25,7 @@ def water_fill(sizes: list[int], weights: list[float], cap: float = 3.0) -> list
                 target[i] = left * weights[i] / weight
             break
         for i in over:
-            target[i] = cap * sizes[i]
+            target[i] = float(cap * sizes[i])
             left -= target[i]
             free.discard(i)
     return target
