@@ -65,7 +65,7 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """timestamp, src_ip, dst_ip, attack_type, severity; header lines and rows without an address are dropped, an unknown severity is medium."""
     df = spark.read.schema("ts string, src_ip string, dst_ip string, attack_type string, severity string").csv(path)
     known = F.lower("severity").isin("info", "low", "medium", "high", "critical")
-    return df.filter(~F.lower("ts").contains("timestamp") & F.col("src_ip").rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.col("attack_type").isNotNull()).select(
+    return df.filter(~F.lower(F.coalesce("ts", F.lit(""))).contains("timestamp") & F.col("src_ip").rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.col("attack_type").isNotNull()).select(
         F.timestamp_seconds(F.col("ts").try_cast("double")).alias("ts"), "src_ip", F.nullif("dst_ip", F.lit("")).alias("dst_ip"), "attack_type", F.when(known, F.lower("severity")).otherwise("medium").alias("severity"))
 
 
