@@ -79,13 +79,14 @@ def z_score(spark, sf):
     return j.select("l_orderkey", "l_linenumber", F.round(A.squash((z("l_quantity") + z("l_extendedprice")) / 2, 3.0), 6).alias("score"))
 
 
-@register("F04_top_contributions", f"WITH {BASE}, z AS (SELECT l_orderkey, l_linenumber, unnest([{{'n': 'l_extendedprice', 'z': abs((l_extendedprice - pm) / ps)}}, {{'n': 'l_quantity', 'z': abs((l_quantity - qm) / qs)}}]) AS u FROM lineitem, b), r AS (SELECT l_orderkey, l_linenumber, u.n AS feature, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_q ORDER BY round(u.z, 9) DESC, u.n) AS rn FROM (SELECT *, 0 AS l_q FROM z)) SELECT l_orderkey, l_linenumber, feature, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1, 2, 3")
+@register("F04_top_contributions", f"WITH {BASE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN round(abs((l_extendedprice - pm) / ps), 9) >= round(abs((l_quantity - qm) / qs), 9) THEN 'l_extendedprice' ELSE 'l_quantity' END AS feature FROM lineitem, b")
 def top_contributions(spark, sf):
-    j = with_base(spark, sf)
-    z = lambda c: F.struct((-F.round(F.abs(A.zscore(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std"))), 9)).alias("z"), F.lit(c).alias("n"))
-    first = F.array_sort(F.array(z("l_extendedprice"), z("l_quantity")))[0]
-    r = j.groupBy("l_orderkey", "l_linenumber").agg(F.min(first).alias("f"))
-    return r.select("l_orderkey", "l_linenumber", F.col("f.n").alias("feature"), F.lit(1).cast("long").alias("n"))
+    """The feature that deviates most in each row; of equal ones the first by name."""
+    cols = ["l_extendedprice", "l_quantity"]
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *cols)
+    j = li.join(F.broadcast(A.profile(li, [], cols)))
+    z = [F.struct((-F.round(F.abs(A.zscore(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std"))), 9)).alias("z"), F.lit(c).alias("n")) for c in cols]
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_min(F.array(*z))["n"].alias("feature"))
 
 
 @register("K05_combined", f"WITH {BASE} SELECT l_orderkey, l_linenumber, round(0.4 * least(abs((l_quantity - qm) / qs) / 3, 1.0) + 0.3 * CASE WHEN abs((l_extendedprice - pm) / ps) > 2 THEN 1 ELSE 0 END, 6) AS score FROM lineitem, b")
