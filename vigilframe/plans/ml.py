@@ -159,7 +159,7 @@ def sliding_samples(spark, sf):
 VOTES = "s AS (SELECT event_id, value / 500 AS a, severity / 3.0 AS b, port / 100.0 AS c FROM det)"
 
 
-@register("K16_votes", f"WITH {D}, {VOTES} SELECT event_id, round((a + b + c) / 3, 6) AS average, round((0.5 * a + 0.3 * b + 0.2 * c), 6) AS weighted, round(greatest(a, b, c), 6) AS mx, round(a + b + c - greatest(a, b, c) - least(a, b, c), 6) AS median, CASE WHEN (a > 0.5)::INT + (b > 0.5)::INT + (c > 0.5)::INT >= 2 THEN 1.0 ELSE 0.0 END AS hard FROM s")
+@register("K16_votes", f"WITH {D}, {VOTES} SELECT event_id, round((a + b + c) / 3, 6) AS average, round((0.5 * a + 0.3 * b + 0.2 * c), 6) AS weighted, round(greatest(a, b, c), 6) AS mx, round(a + b + c - greatest(a, b, c) - least(a, b, c), 6) AS median, CASE WHEN (a > 0.5)::INT + (b > 0.5)::INT + (c > 0.5)::INT >= 2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hard FROM s")
 def votes(spark, sf):
     s = [F.col("value") / 500, F.col("severity") / 3.0, F.col("port") / 100.0]
     w = [0.5, 0.3, 0.2]

@@ -390,7 +390,7 @@ def temporal(spark, sf):
     return det(spark, sf).select("event_id", F.coalesce(F.abs(F.col("value") - F.avg("value").over(w)) > 200, F.lit(False)).alias("anomaly"))
 
 
-@register("K19_adjuster", f"WITH {D}, r AS (SELECT event_type, avg(CASE WHEN port < 30 THEN 1.0 ELSE 0.0 END) AS fp, avg(CASE WHEN port > 80 THEN 1.0 ELSE 0.0 END) AS fn FROM det GROUP BY 1) SELECT event_type, round(least(0.95, greatest(0.3, 0.7 + CASE WHEN fp > 0.05 THEN 0.05 ELSE 0 END - CASE WHEN fn > 0.1 THEN 0.05 ELSE 0 END)), 6) AS threshold FROM r")
+@register("K19_adjuster", f"WITH {D}, r AS (SELECT event_type, avg(CASE WHEN port < 30 THEN 1.0 ELSE 0.0 END) AS fp, avg(CASE WHEN port > 80 THEN 1.0 ELSE 0.0 END) AS fn FROM det GROUP BY 1) SELECT event_type, CAST(round(least(0.95, greatest(0.3, 0.7 + CASE WHEN fp > 0.05 THEN 0.05 ELSE 0 END - CASE WHEN fn > 0.1 THEN 0.05 ELSE 0 END)), 6) AS DOUBLE) AS threshold FROM r")
 def adjuster(spark, sf):
     r = det(spark, sf).groupBy("event_type").agg(F.avg((F.col("port") < 30).cast("double")).alias("fp"), F.avg((F.col("port") > 80).cast("double")).alias("fn"))
     t = F.lit(0.7) + F.when(F.col("fp") > 0.05, 0.05).otherwise(0.0) - F.when(F.col("fn") > 0.1, 0.05).otherwise(0.0)
