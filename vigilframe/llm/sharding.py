@@ -60,12 +60,14 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int = 8, seed: i
     return permute(np.asarray(slot) * shards + np.asarray(shard), n, seed, inverse=True)
 
 
-def number_rows(df: DataFrame, order: list, buckets: int = 1024) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: list, rows_per_bucket: int = 50_000, least_buckets: int = 256) -> tuple[DataFrame, int]:
     """Adds __row, gapless from 0, and gives the number of rows.
 
-    Rows are dealt to hash buckets of `order`, counted by bucket (at most `buckets` rows reach the driver) and numbered
-    inside each bucket, so that no task sorts all rows. Equal tuples of `order` are interchangeable.
+    Rows are dealt to hash buckets of `order`, counted by bucket (one row per bucket reaches the driver) and numbered
+    inside each bucket, so a task sorts about rows_per_bucket rows whatever the size. Equal tuples of `order` are
+    interchangeable.
     """
+    buckets = max(least_buckets, -(-df.count() // rows_per_bucket))
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = {r[0]: r[1] for r in df.groupBy("__bucket").count().collect()}
     starts, total = {}, 0
@@ -78,7 +80,7 @@ def number_rows(df: DataFrame, order: list, buckets: int = 1024) -> tuple[DataFr
     return out.withColumn("__row", F.col("__start") + F.col("__in") - 1).drop("__bucket", "__in", "__start"), total
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None, buckets: int = 1024) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
     """Every input row with the columns `carry` (None: all), and __id, __size, __crc, __shard and __slot.
 
     The law is `rows`: shard counts differ by one at most and slots are gapless from 0. Row numbers follow a hash of id,
@@ -89,7 +91,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str
     text = text_or_empty(text_col)
     own = {"__id": F.col(id_col), "__size": (F.octet_length(text) + 1).cast("long"), "__crc": F.crc32(text.cast("binary"))}
     keyed = docs.select(*(docs.columns if carry is None else carry), *[v.alias(k) for k, v in own.items()])
-    numbered, n = number_rows(keyed, ["__id", "__crc", "__size"], buckets)
+    numbered, n = number_rows(keyed, ["__id", "__crc", "__size"], rows_per_bucket)
 
     @F.pandas_udf("shard int, slot long")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
