@@ -47,6 +47,10 @@ def test_exact_dedup(spark):
         want.append((i, best[3], len(groups[norm]), i == best[3] and -len(t or "") == best[0], hashlib.sha256(norm.encode()).hexdigest()))
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
+    some = [tuple(r) for r in exact_dedup.exact_dedup(table(spark, ODD), hash_all=False).collect()]
+    assert sorted(str(r[:4]) for r in some) == sorted(str(r[:4]) for r in want)
+    assert {r[4] for r in some if r[2] > 1} == {r[4] for r in want if r[2] > 1}
+    assert exact_dedup.exact_dedup(table(spark, []), hash_all=False).count() == 0
 
 
 def test_exact_dedup_same_length_and_prefix(spark):

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, fold, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, fold, materialize, pieces, raw_texts, shuffle_parts
 
 END = np.uint64(0x5EED0E0D5EED0E0D)  # the token that ends every text, and the context of every first word
 BINS, LOW, HIGH = 800, -12.0, 28.0  # of the logarithm of bigram over word estimate

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, materialize, pieces, raw_texts, shuffle_parts
 from .components import components
 
 
