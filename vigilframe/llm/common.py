@@ -86,5 +86,15 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows per Arrow batch than Spark's default of 10,000, unless the session has set a number of its own.
+
+    Texts are long: batches of the default size take tens of megabytes in the executor and again in its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

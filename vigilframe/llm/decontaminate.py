@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 WORDS = re.compile(r"\w+").findall
 
@@ -176,6 +176,7 @@ def find_contamination(
     Prints of equal-sized bags at similarity 0.8 differ in 13 of 64 bits on average with a deviation of 3.2; the radius
     of 23 leaves out fewer than 1 in 1000 windows at the threshold itself, and none that is a verbatim copy.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -200,6 +201,7 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 5, threshold: float = 0.8, radius: int = 23, block_bytes: int = 16 << 20) -> DataFrame:
     """The documents that contain no benchmark item, all columns kept; nothing is shuffled. Empty texts stay."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     for block in _blocks(benchmark, "item_id", "text", block_bytes):
         held = spark.sparkContext.broadcast(BenchmarkIndex(block, width, threshold, radius))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 UNDETERMINED = "und"
 
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str], text_col
     `und` with score 0 where the text is null, empty or has no letter, or no language was learned. __rejected marks
     scores below the calibrated threshold.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

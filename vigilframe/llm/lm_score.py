@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, bound_batches, fold, materialize, pieces, raw_texts, shuffle_parts
 
 END = np.uint64(0x5EED0E0D5EED0E0D)  # the token that ends every text, and the context of every first word
 BINS, LOW, HIGH = 800, -12.0, 28.0  # of the logarithm of bigram over word estimate
@@ -79,6 +79,7 @@ class _Block:
 
 def tokenize_blocks(docs: DataFrame, id_col: str, text_col: str, trained, held, block_tokens: int) -> DataFrame:
     """Rows of packed blocks. Held-out texts have blocks of their own, so that learning weights reads those alone."""
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

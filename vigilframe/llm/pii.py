@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # outside, and begin and inside of each kind
@@ -382,6 +382,7 @@ def detect(docs: DataFrame, net: BiLstmCrf | None, id_col: str = "doc_id", text_
     Counts and hash are of the base spans; `spans` has those and the added ones, `added` how many the network added. Added
     spans never overlap base ones. Null text counts as empty: no spans, the hash of the empty string.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     id_type = docs.schema[id_col].dataType.simpleString()
 

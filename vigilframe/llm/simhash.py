@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, bound_batches, materialize, pieces, raw_texts, shuffle_parts
 from .components import components
 
 
@@ -39,6 +39,7 @@ def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
 
 def with_fingerprint(docs: DataFrame, columns: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
     """The given columns of docs and __fp, the fingerprint of the whole text as a signed long."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

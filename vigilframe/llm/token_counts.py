@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 
 def byte_alphabet() -> list[str]:
@@ -118,6 +118,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, id
     path: the tokenizer file on the workers; None takes word_bpe_49k.json of the installed public_tokenizers. Null text
     counts as empty, with 0 bytes and 0 tokens; blank texts have 0 tokens. Repeated rows stay repeated.
     """
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
