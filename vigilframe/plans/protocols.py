@@ -290,7 +290,7 @@ def modified_z(spark, sf):
     m = li.agg(F.median("l_quantity").alias("med"))
     j = li.join(F.broadcast(m))
     d = j.agg(F.median(F.abs(F.col("l_quantity") - F.col("med"))).alias("mad"))
-    return j.join(F.broadcast(d)).select("l_orderkey", "l_linenumber", "l_partkey", F.round((F.col("l_quantity") - F.col("med")) / (1.4826 * F.col("mad")), 6).alias("z"))
+    return j.join(F.broadcast(d)).select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.try_divide(F.col("l_quantity") - F.col("med"), 1.4826 * F.col("mad")), 6).alias("z"))
 
 
 @register("H83_port_mismatch", f"WITH {P} SELECT packet_id, CASE WHEN proto = 17 AND least(src_port, dst_port) NOT IN (53, 123) THEN true WHEN proto = 6 AND least(src_port, dst_port) = 53 THEN true ELSE false END AS mismatch FROM pkt")
