@@ -113,7 +113,7 @@ def hit_rate(spark, sf):
 @register("D58_feedback_summary", f"WITH {OUT} SELECT count(*) AS total, count(*) FILTER (outcome IN ('TP', 'TN')) AS correct, round(count(*) FILTER (outcome IN ('TP', 'TN')) / count(*), 6) AS accuracy FROM o")
 def feedback_summary(spark, sf):
     ok = F.count_if(F.col("outcome").isin("TP", "TN"))
-    return judged(spark, sf).agg(F.count(F.lit(1)).alias("total"), ok.alias("correct"), F.round(ok / F.count(F.lit(1)), 6).alias("accuracy"))
+    return judged(spark, sf).agg(F.count(F.lit(1)).alias("total"), ok.alias("correct"), F.round(F.try_divide(ok, F.count(F.lit(1))), 6).alias("accuracy"))
 
 
 @register("C19_ml_window_join", f"WITH {D} SELECT event_id, count(*) OVER (PARTITION BY port ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND 1 PRECEDING) AS same_dst, count(*) FILTER (severity >= 2) OVER (PARTITION BY src ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND 1 PRECEDING) AS same_src_severe FROM det")

@@ -105,7 +105,7 @@ def estimates(spark, sf):
 
 @register("H29_random_local", "SELECT page_id, round(len(regexp_extract_all(url, '[a-z][0-9]|[0-9][a-z]')) / length(url), 6) AS transitions FROM pages")
 def random_local(spark, sf):
-    return T.table(spark, sf, "pages").select("page_id", F.round(F.size(F.regexp_extract_all("url", F.lit("[a-z][0-9]|[0-9][a-z]"), 0)) / F.length("url"), 6).alias("transitions"))
+    return T.table(spark, sf, "pages").select("page_id", F.round(F.try_divide(F.size(F.regexp_extract_all("url", F.lit("[a-z][0-9]|[0-9][a-z]"), 0)), F.length("url")), 6).alias("transitions"))
 
 
 MAIL = "SELECT conv_id, count(*) AS parts, count(*) FILTER (role = 'user') AS senders, max(length(text)) AS longest, bool_or(contains(lower(text), 'free')) AS promo FROM conversations GROUP BY 1"
