@@ -218,7 +218,7 @@ def learn_weights(counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     return weights
 
 
-def lm_scores(docs: DataFrame, trained=None, held=None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 2_000_000, bucket_hashes: int = 1_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, trained=None, held=None, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000, bucket_hashes: int = 1_000_000) -> DataFrame:
     """id, trained, n_tokens, n_known, train_tokens, base_score, score for every row and whole text.
 
     trained, held: boolean columns; by default the texts whose id's crc32 mod 10 is not 0 train, and those where it is 9
