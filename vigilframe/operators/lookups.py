@@ -89,22 +89,38 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, id_col: str, vector: str, block: int = 512) -> DataFrame:
-    """The k corpus rows of greatest cosine similarity for each query, exactly.
+def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vector: str, carry: tuple[str, ...] = (), own: bool = False, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """The k right rows of greatest cosine similarity for each left row, exactly: left_id, right_id, score, rank and the right rows' `carry`.
 
-    The query set is stated and small; it goes out in blocks of bounded size as one array column each, and every corpus
-    row scores a block where it lies. Only the k best of each query in each partition of candidates move on.
+    Both sides lie in a grid of cells. Right rows are dealt by a hash into blocks of about `block`, one array row each,
+    left rows by another into chunks of about `chunk`; every left row goes once to each block, every block once to each
+    chunk, by an equi join on both numbers. Only the k best of a left row in a block move on. The driver sees two counts.
+    Rows of the same id are not compared unless `own` is set. Equal scores go to the smaller right_id.
     """
-    rows = queries.select(query_id, vector).orderBy(query_id).collect()
-    out = None
-    for at in range(0, max(1, len(rows)), block):
-        part = queries.sparkSession.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in rows[at : at + block]], f"{query_id} long, q array<double>")
-        held = F.broadcast(part.agg(F.collect_list(F.struct(query_id, "q")).alias("qs")))  # one row of at most `block` vectors
-        s = corpus.select(id_col, vector).join(held).select(id_col, F.inline(F.transform("qs", lambda q: F.struct(q[query_id].alias(query_id), cosine(F.col(vector), q["q"]).alias("score")))))
-        s = s.filter(F.col(query_id) != F.col(id_col))
-        out = s if out is None else out.unionByName(s)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(id_col))
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    blocks, chunks = max(1, -(-right.count() // block)), max(1, -(-left.count() // chunk))
+    wide = F.transform(F.col(vector), lambda x: x.cast("double"))
+    number = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = right.select(number(right_id, blocks, 1).alias("__block"), F.col(right_id).alias("id"), wide.alias("v"), *carry)
+    held = held.groupBy("__block").agg(F.collect_list(F.struct("id", "v", norm(F.col("v")).alias("n"), *carry)).alias("__held")).withColumn("__chunk", every(chunks))
+    rows = left.select(left_id, number(left_id, chunks, 2).alias("__chunk"), wide.alias("__v"), every(blocks).alias("__block")).withColumn("__n", norm(F.col("__v")))
+
+    def score(r):
+        n = F.col("__n") * r["n"]
+        return F.struct(F.when(n > 0, dot(F.col("__v"), r["v"]) / n).otherwise(0.0).alias("score"), (-r["id"]).alias("o"), *[r[c].alias(c) for c in carry])
+
+    others = F.col("__held") if own else F.filter("__held", lambda r: r["id"] != F.col(left_id))
+    scored = F.transform(others, score)
+    best = F.array_compact(F.array(F.array_max(scored))) if k == 1 else F.slice(F.sort_array(scored, asc=False), 1, k)
+    found = rows.join(held, ["__block", "__chunk"]).select(left_id, F.inline(best))
+    found = found.select(left_id, (-F.col("o")).alias(right_id), "score", *carry)
+    w = Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc(right_id))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, id_col: str, vector: str, block: int = 512) -> DataFrame:
+    """The k corpus rows of greatest cosine similarity for each query, exactly; no query vector goes to the driver."""
+    return nearest(queries, corpus, k, query_id, id_col, vector, block=block)
 
 
 def jaccard(a: Column, b: Column) -> Column:

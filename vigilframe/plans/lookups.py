@@ -180,11 +180,9 @@ def hassh_lookup(spark, sf):
  b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, sig_id) AS rn FROM j) SELECT vec_id, sig_id, sig_label, round(c, 6) AS score FROM b WHERE rn = 1 AND c >= 0.5""")
 def vector_signatures(spark, sf):
     e = T.table(spark, sf, "embeddings")
-    sig = [(r[0], r[1], [float(x) for x in r[2]]) for r in e.filter("vec_id % 50 = 0").select("vec_id", "label", "embedding").orderBy("vec_id").limit(10_000).collect()]
-    held = spark.createDataFrame(sig, "sig_id long, sig_label int, q array<double>").agg(F.collect_list(F.struct("sig_id", "sig_label", "q")).alias("qs"))
-    scored = e.join(F.broadcast(held)).select("vec_id", F.filter(F.transform("qs", lambda s: F.struct(L.cosine(F.col("embedding"), s["q"]).alias("c"), (-s["sig_id"]).alias("o"), s["sig_label"].alias("l"))), lambda s: -s["o"] != F.col("vec_id")).alias("all"))
-    best = scored.select("vec_id", F.array_max("all").alias("b"))  # every vector scores the signature list where it lies: no join, no shuffle
-    return best.filter("b.c >= 0.5").select("vec_id", (-F.col("b.o")).alias("sig_id"), F.col("b.l").alias("sig_label"), F.round("b.c", 6).alias("score"))
+    sig = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("sig_id"), F.col("label").alias("sig_label"), "embedding")
+    best = L.nearest(e, sig, 1, "vec_id", "sig_id", "embedding", carry=("sig_label",))
+    return best.filter("score >= 0.5").select("vec_id", "sig_id", "sig_label", F.round("score", 6).alias("score"))
 
 
 @register("F07_knn", """WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), j AS (SELECT q_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS c FROM embeddings, q WHERE vec_id <> q_id),
