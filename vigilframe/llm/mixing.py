@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, materialize, shuffle_parts, text_or_empty
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -142,13 +142,34 @@ def mix_sources(
     return Mix(plan, rows, ranges)
 
 
-def draw(mix: Mix, seed: int = 0) -> DataFrame:
-    """The mix itself: each row once per copy, with __shard and __order, the order inside the shard.
+def deal(mix: Mix, seed: int = 0) -> DataFrame:
+    """mix.rows with __dealt: for each copy its __shard and __order, the order inside the shard; empty without copies.
 
     Copy c of a row in permuted block b is in virtual block c * blocks + b of its source; the tree's ranges say to which
     shard that belongs.
     """
-    copies = mix.rows.withColumn("__copy", F.explode(F.expr("CASE WHEN __copies > 0 THEN sequence(0, __copies - 1) ELSE array() END")))
-    copies = copies.join(F.broadcast(mix.ranges), "__s").withColumn("__v", F.col("__copy").cast("long") * F.col("__blocks") + F.col("__block"))
-    shard = F.least(F.size(F.filter("__ends", lambda e: e <= F.col("__v"))), F.size("__ends") - 1)
-    return copies.withColumns({"__shard": shard, "__order": F.xxhash64("__u", "__copy", F.lit(seed + 2))})
+    rows = mix.rows.join(F.broadcast(mix.ranges), "__s")
+    copies = F.when(F.col("__copies") > 0, F.sequence(F.lit(0), F.col("__copies") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def place(c):
+        v = c.cast("long") * F.col("__blocks") + F.col("__block")
+        shard = F.least(F.size(F.filter("__ends", lambda e: e <= v)), F.size("__ends") - 1)
+        return F.struct(shard.alias("__shard"), F.xxhash64("__u", c, F.lit(seed + 2)).alias("__order"))
+
+    return rows.withColumn("__dealt", F.transform(copies, place))
+
+
+def draw(mix: Mix, seed: int = 0) -> DataFrame:
+    """The mix itself: each row once per copy, with __shard and __order as deal() gives them."""
+    dealt = deal(mix, seed)
+    return dealt.select("*", F.posexplode("__dealt").alias("__copy", "__at")).select("*", "__at.*").drop("__dealt", "__at")
+
+
+def shuffled(drawn: DataFrame, shards: int) -> DataFrame:
+    """What draw() gives, as the mix says: each shard in partitions of its own, one after the other, in __order.
+
+    A shard has as many partitions as the session's shuffle partitions allow, one at least; each holds a range of __order.
+    """
+    each = -(-shuffle_parts(drawn.sparkSession) // shards)
+    part = F.least(F.floor((F.col("__order") / F.lit(2.0**64) + 0.5) * each), F.lit(each - 1)).cast("int")
+    return drawn.repartitionById(shards * each, (F.col("__shard") * each + part).cast("int")).sortWithinPartitions("__shard", "__order")

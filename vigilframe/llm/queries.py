@@ -61,10 +61,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    rows = mixing.mix_sources(docs, shards=8, seed=9).rows
+    rows = mixing.deal(mixing.mix_sources(docs, shards=8, seed=9), seed=9)
     return rows.select(
         "doc_id", F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"), F.col("__copies").alias("copies"),
+        (F.col("__size") * F.size("__dealt")).alias("taken"), F.size("__dealt").alias("copies"),
+        F.col("__dealt.__shard").alias("shards"), F.col("__dealt.__order").alias("orders"),
     )
 
 

@@ -36,8 +36,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources at their target weights: a document that it takes twice is there twice."""
-    return mixing.draw(mixing.mix_sources(docs, shards=8, seed=9), seed=9).select(*docs.columns)
+    """The mix of the sources at their target weights: a document that it takes twice is there twice.
+
+    Rows lie as the splitting tree deals them: partitions by shard, rows in the shard's order.
+    """
+    drawn = mixing.draw(mixing.mix_sources(docs, shards=8, seed=9), seed=9).select(*docs.columns, "__shard", "__order")
+    return mixing.shuffled(drawn, shards=8).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
