@@ -246,35 +246,80 @@ def reconcile(found: list[tuple[Span, float]], base: list[Span], text: str, leas
     return out[::-1]
 
 
+def label_spans(path: np.ndarray, sure: np.ndarray, start: int) -> list[tuple[Span, float]]:
+    """Spans of one label sequence that begins at `start`, each with its least marginal."""
+    out, i, n = [], 0, len(path)
+    while i < n:
+        j = i + 1
+        if path[i] % 2 == 1:
+            while j < n and path[j] == path[i] + 1:
+                j += 1
+            out.append(((KINDS[path[i] // 2], start + i, start + j), float(sure[i:j].min())))
+        i = j
+    return out
+
+
+def decode_pieces(texts: list[str], where: list[tuple[int, int, int]], net: BiLstmCrf, cells: int = 512 * 64) -> Iterator[tuple[tuple[int, int, int], list[tuple[Span, float]]]]:
+    """(piece, its spans) for pieces (text, start, end) that have any; pieces of one length go through the network together."""
+    by_size: dict[int, list[tuple[int, int, int]]] = {}
+    for piece in where:
+        by_size.setdefault(piece[2] - piece[1], []).append(piece)
+    for size, same in by_size.items():
+        step = max(1, cells // size)
+        for at in range(0, len(same), step):
+            some = same[at : at + step]
+            ids = np.zeros((len(some), size), dtype=np.int64)
+            for r, (k, s, e) in enumerate(some):
+                c = char_ids(texts[k][s:e])
+                ids[r, : len(c)] = c
+            path, sure = net.decode(ids)
+            for r in np.flatnonzero((path > 0).any(axis=1)):
+                k, s, e = some[r]
+                n = min(e, len(texts[k])) - s
+                yield some[r], label_spans(path[r, :n], sure[r, :n], s)
+
+
+def merged(wider: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces with those of the same text that overlap joined into one."""
+    out: list[tuple[int, int, int]] = []
+    for k, s, e in sorted(wider):
+        if out and out[-1][0] == k and s < out[-1][2]:
+            out[-1] = (k, out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((k, s, e))
+    return out
+
+
 def find_spans(texts: list[str], net: BiLstmCrf | None, w: Windows = Windows(), least: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text. All texts' windows go through the network together."""
+    """(base spans, added spans) of each text. All texts' windows go through the network together.
+
+    A span that an inner edge cuts and no window holds whole is decoded again in a piece that reaches further beyond that
+    edge, pieces that overlap joined into one, twice as far each time until no edge cuts it or the text ends: there is no
+    bound on a span's length. A cut span on top of a base span is left, for whatever holds it could not be added.
+    """
     base = [base_spans(t) for t in texts]
     if net is None:
         return [(b, []) for b in base]
-    where = [(k, s) for k, t in enumerate(texts) for s in window_starts(t, w)]
     found: list[list[tuple[Span, float]]] = [[] for _ in texts]
-    for at in range(0, len(where), 512):
-        some = where[at : at + 512]
-        ids = np.zeros((len(some), w.size), dtype=np.int64)
-        for r, (k, s) in enumerate(some):
-            c = char_ids(texts[k][s : s + w.size])
-            ids[r, : len(c)] = c
-        path, sure = net.decode(ids)
-        for r in np.flatnonzero((path > 0).any(axis=1)):
-            k, s = some[r]
-            n = min(w.size, len(texts[k]) - s)
-            i = 0
-            while i < n:
-                if path[r, i] % 2 == 1:
-                    j = i + 1
-                    while j < n and path[r, j] == path[r, i] + 1:
-                        j += 1
-                    cut = (i == 0 and s > 0) or (j == n and s + n < len(texts[k]))  # another window sees it whole
-                    if not cut:
-                        found[k].append(((KINDS[path[r, i] // 2], s + i, s + j), float(sure[r, i:j].min())))
-                    i = j
+    where, reach = [(k, s, s + w.size) for k, t in enumerate(texts) for s in window_starts(t, w)], w.stride
+    while where:
+        cut: list[tuple[tuple[int, int, int], Span, bool, bool]] = []
+        for (k, s, e), spans in decode_pieces(texts, where, net):
+            for span, p in spans:
+                left, right = span[1] == s and s > 0, span[2] == e and e < len(texts[k])
+                if left or right:
+                    cut.append(((k, s, e), span, left, right))
                 else:
-                    i += 1
+                    found[k].append((span, p))
+        where = []
+        for (k, s, e), (kind, a, b), left, right in cut:
+            whole = any(x == kind and c <= a and b <= d for (x, c, d), _ in found[k])
+            if not whole and not any(a < d and c < b for _, c, d in base[k]):
+                where.append((k, max(0, s - reach) if left else s, e + reach if right else e))
+        # grid positions only, so that lengths repeat and pieces of a batch are equally long; padding follows a text's end
+        last = [-(-len(t) // w.stride) * w.stride for t in texts] if where else []
+        where = merged([(k, s, max(min(e, last[k]), s + w.size)) for k, s, e in where])
+        reach *= 2
     return [(b, reconcile(f, b, t, least)) for b, f, t in zip(base, found, texts, strict=True)]
 
 
