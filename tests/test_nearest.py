@@ -50,3 +50,9 @@ def test_later_signatures_are_scored(spark, tmp_path):
 def test_no_vectors_on_the_driver(spark, sf, name, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: pytest.fail("collected"))
     assert isinstance(registry.queries()[name](spark, sf), DataFrame)
+
+
+@pytest.mark.parametrize("name", ["C24_rag_search_all", "C25_rag_filtered_all"])
+def test_every_query_is_searched(spark, sf, name):
+    got = registry.queries()[name](spark, sf).groupBy("q_id").count().collect()
+    assert {r["q_id"] for r in got} == set(range(0, 500, 50)) and max(r["count"] for r in got) <= 20

@@ -208,6 +208,25 @@ def rag_filtered(spark, sf):
     return e.filter("label IN (1, 2)").join(F.broadcast(q)).select("vec_id", "label", F.round(L.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
+def rag_all(spark, sf, sources=None):
+    e = T.table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    hit = L.nearest(q, e if sources is None else e.filter(F.col("label").isin(*sources)), 20, "q_id", "vec_id", "embedding", carry=("label",), own=True)
+    return hit.filter("score >= 0.1").withColumn("score", F.round("score", 6))
+
+
+@register("C24_rag_search_all", """WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), j AS (SELECT q_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS c FROM embeddings, q),
+ b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, vec_id) AS rn FROM j) SELECT q_id, vec_id, CAST(rn AS INTEGER) AS rank, round(c, 6) AS score FROM b WHERE rn <= 20 AND c >= 0.1""")
+def rag_search_all(spark, sf):
+    return rag_all(spark, sf).select("q_id", "vec_id", "rank", "score")
+
+
+@register("C25_rag_filtered_all", """WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), j AS (SELECT q_id, vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS c FROM embeddings, q WHERE label IN (1, 2)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, vec_id) AS rn FROM j) SELECT q_id, vec_id, label, CAST(rn AS INTEGER) AS rank, round(c, 6) AS score FROM b WHERE rn <= 20 AND c >= 0.1""")
+def rag_filtered_all(spark, sf):
+    return rag_all(spark, sf, (1, 2)).select("q_id", "vec_id", "label", "rank", "score")
+
+
 @register("C23_baseline_anomaly", """WITH b AS (SELECT label, list(embedding ORDER BY vec_id)[1] AS q FROM embeddings GROUP BY 1), j AS (SELECT vec_id, 1 - max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) AS d FROM embeddings, b GROUP BY 1) SELECT vec_id, round(d, 6) AS distance, d > 0.7 AS anomaly FROM j""")
 def baseline_anomaly(spark, sf):
     e = T.table(spark, sf, "embeddings")
