@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def tokenize_blocks(docs: DataFrame, id_col: str, text_col: str, trained, held,
             flat = np.concatenate(words)
             hashes, tokens = np.unique(flat, return_inverse=True)
             seen += 1
-            name = xxhash.xxh3_128_hexdigest(repr((ids[:64], len(ids), seen, held_block, int(flat[:4096].sum(dtype=np.uint64)), len(flat))))
+            name = xxhash.xxh3_128_hexdigest(repr((TaskContext.get().partitionId(), ids[:64], len(ids), seen, held_block, int(flat[:4096].sum(dtype=np.uint64)), len(flat))))
             row = {
                 "block": [name], "held": [held_block], "n_tokens": [len(flat)], "n_train": [int(lens[np.array(train)].sum())], "n_words": [len(hashes)], "ids": pa.array([ids], type=pa.list_(first.type)),
                 "lens": [lens.tobytes()], "train": [np.array(train, dtype=bool).tobytes()], "hashes": [_pack_sorted(hashes)], "tokens": [_pack(tokens.astype(np.uint32))],
