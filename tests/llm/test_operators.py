@@ -269,39 +269,76 @@ def test_pii_query(spark, sf):
 def test_lm_scores_match_brute_force(spark):
     rng = np.random.default_rng(3)
     docs = [(i, " ".join(rng.choice(["a", "B", "c", "d", "e", "f"], int(rng.integers(0, 30)))), "en", "s") for i in range(120)] + [(200, None, "en", "s"), (None, "a b zz", "en", "s"), (5, "a b", "en", "s")]
-    got = lm_score.lm_scores(table(spark, docs), block_tokens=100, bucket_hashes=7).collect()
+    got = lm_score.lm_scores(table(spark, docs), block_tokens=100, bucket_hashes=7, spare_bits=40).collect()
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
-    toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None]) for i, t, *_ in docs]
-    uni, big = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+    toks = [(i, [None, None, *re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]) for i, t, *_ in docs]
+    grams = {part: [Counter(), Counter(), Counter()] for part in (0, 1)}
     for i, w in toks:
         if fold(i):
             for part in (0,) if fold(i) == 9 else (0, 1):
-                uni[part].update(w)
-                big[part].update(zip([None, *w], w, strict=False))
+                for j in range(2, len(w)):
+                    for k in range(3):
+                        grams[part][k][tuple(w[j - k : j + 1])] += 1
 
     def terms(w, part):
-        n, v = sum(uni[part].values()), sum(c > 0 for c in uni[part].values())
-        for h, x in zip([None, *w], w, strict=False):
-            c = uni[part][h]
-            yield (uni[part][x] + 0.1) / (n + 0.1 * (v + 1)), (big[part][h, x] / c if c else 0.0), int(math.log2(c)) + 1 if c else 0
-
-    counts = np.zeros((lm_score.CONTEXTS, lm_score.BINS + 1))
-    for i, w in toks:
-        if fold(i) == 9:
-            for p1, p2, b in terms(w, 1):
-                k = lm_score.BINS if p2 == 0 else int(np.clip((math.log(p2 / p1) - lm_score.LOW) * lm_score.BINS / (lm_score.HIGH - lm_score.LOW), 0, lm_score.BINS - 1))
-                counts[b, k] += 1
-    weights = lm_score.learn_weights(counts)
+        """For each token the (count, context count) of its word, bigram and trigram."""
+        uni, big, tri = grams[part]
+        n = sum(uni.values())
+        for j in range(2, len(w)):
+            ends = uni[(None,)]
+            yield (uni[w[j],], n), (big[tuple(w[j - 1 : j + 1])], ends if j == 2 else uni[w[j - 1],]), (tri[tuple(w[j - 2 : j + 1])], ends if j == 2 else big[tuple(w[j - 2 : j])])
+
+    def bucket(c):
+        return int(math.log2(c)) + 1 if c else 0
+
+    def mixed(t, part, weights):
+        p = 1 / (len(grams[part][0]) + 1)
+        for (c, h), w in zip(t, weights, strict=False):
+            p = w[bucket(h)] * (c / h if h else 0) + (1 - w[bucket(h)]) * p
+        return p
+
+    weights = []
+    for k in range(3):
+        counts = np.zeros((lm_score.CONTEXTS, lm_score.BINS + 1))
+        for i, w in toks:
+            if fold(i) == 9:
+                for t in terms(w, 1):
+                    c, h = t[k]
+                    place = int(np.clip((math.log(c / h / mixed(t, 1, weights)) - lm_score.LOW) * lm_score.BINS / (lm_score.HIGH - lm_score.LOW), 0, lm_score.BINS - 1)) if c and h else lm_score.BINS
+                    counts[bucket(h), place] += 1
+        weights.append(lm_score.learn_weights(counts))
     want = []
+    n, v = sum(grams[0][0].values()), len(grams[0][0])
     for i, w in toks:
         t = list(terms(w, 0))
-        want.append((str(i), len(w), sum(uni[0][x] > 0 for x in w), sum(uni[0].values()), round(sum(math.log10(a) for a, _, _ in t), 6), round(sum(math.log10(weights[b] * p + (1 - weights[b]) * a) for a, p, b in t), 6)))
-    mine = [(str(None if r["doc_id"] is None or r["doc_id"] != r["doc_id"] else int(r["doc_id"])), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got]
+        want.append((str(i), len(t), sum(x[0][0] > 0 for x in t), n, round(sum(math.log10((x[0][0] + 0.1) / (n + 0.1 * (v + 1))) for x in t), 6), round(sum(math.log10(mixed(x, 0, weights)) for x in t), 6)))
+    mine = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got]
     assert sorted(mine) == sorted(want)
     assert lm_score.lm_scores(table(spark, [])).count() == 0
     assert {round(r["score"], 9) for r in lm_score.lm_scores(table(spark, [(1, "a", "en", "s")]), F.lit(False), F.lit(False)).collect()} == {0.0}
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    """The mixture is a distribution over the vocabulary and one unknown word, whatever the context."""
+    w = [np.full(lm_score.CONTEXTS, x) for x in (0.9, 0.6, 0.7)]
+    for x in w:
+        x[0] = 0
+    seen = [np.array([5, 3, 2, 0]), np.array([2, 1, 0, 0]), np.array([1, 0, 0, 0])]  # words a, b, c, unknown after one history
+    context = [np.full(4, 10), np.full(4, 3), np.full(4, 1)]
+    assert lm_score.estimate(seen, context, 3, w).sum() == pytest.approx(1)
+    assert lm_score.estimate(seen[:2], [context[0], np.zeros(4, dtype=int)], 3, w[:2]).sum() == pytest.approx(1)
+
+
+def test_lm_keeps_ids_and_repeated_rows(spark):
+    big = (1 << 60) + 1
+    docs = table(spark, [(big, "a b c", "en", "s"), (None, "a b", "en", "s"), (3, "c", "en", "s")])
+    got = lm_score.lm_scores(docs.unionAll(docs)).collect()
+    assert Counter(r["doc_id"] for r in got) == {big: 2, None: 2, 3: 2}
+    assert len({(r["doc_id"], r["n_tokens"], r["train_tokens"], round(r["score"], 9)) for r in got}) == 3
+    words = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert sorted(str(r["doc_id"]) for r in lm_score.lm_scores(words).collect()) == sorted(["3", str(big), "None"])
+
+
 def test_lm_held_out_gain(spark, sf):
     r = queries.op6_lm_score(spark, sf).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
