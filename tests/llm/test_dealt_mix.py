@@ -11,7 +11,7 @@ def test_op9_rows_come_from_the_tree(spark, sf):
     rows = queries.op9_mixing(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
     assert len(rows) == docs.count()
-    drawn = Counter((r["doc_id"], r["__shard"], r["__order"]) for r in mixing.draw(mixing.mix_sources(docs, shards=8, seed=9), seed=9).collect())
+    drawn = Counter((r["__row"]["doc_id"], r["__shard"], r["__order"]) for r in mixing.draw(mixing.mix_sources(docs, shards=8, seed=9)).collect())
     assert drawn == Counter((r["doc_id"], s, o) for r in rows for s, o in zip(r["shards"], r["orders"], strict=True))
     assert all(r["copies"] == len(r["shards"]) and r["taken"] == r["size"] * r["copies"] for r in rows)
 
@@ -28,12 +28,35 @@ def test_splitting_tree_decides_op9(spark, sf, monkeypatch):
     assert {s for r in queries.op9_mixing(spark, sf).collect() for s in r["shards"]} == {7}
 
 
+def test_quotas_of_the_tree_decide_what_is_taken(spark, sf, monkeypatch):
+    """Without quotas nothing is taken; with half of each source's quota about half is."""
+    whole, dealt = sum(r["taken"] for r in queries.op9_mixing(spark, sf).collect()), mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda blocks, shards, seed: dealt(blocks, shards, seed) * 0)
+    assert {r["taken"] for r in queries.op9_mixing(spark, sf).collect()} == {0}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(mixing, "splitting_tree", lambda blocks, shards, seed: dealt(blocks // 2, shards, seed))
+    half = mixing.mix_sources(docs, shards=8, seed=9, block_rows=2).rows.select((F.col("__size") * F.size("__dealt")).alias("t")).collect()
+    assert 0.25 < sum(r["t"] for r in half) / whole < 0.75
+
+
+def test_shards_draw_disjoint_blocks(spark, sf):
+    """Each copy of a row is in one shard, and a source's blocks are dealt as the tree says."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mix = mixing.mix_sources(docs, shards=4, seed=3, block_rows=4)
+    drawn = mixing.draw(mix).collect()
+    assert len({(r["__order"], r["__row"]["doc_id"]) for r in drawn}) == len(drawn)
+    quota = mixing.splitting_tree(mixing.np.array([p["quota"] for p in mix.plan]), 4, 3)
+    assert quota.sum(axis=0).max() - quota.sum(axis=0).min() <= 1
+    share = Counter(r["__shard"] for r in drawn)
+    assert max(share.values()) < 2 * min(share.values())
+
+
 def test_mix_stage_lies_in_shards_and_order(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = stages.mix(spark, docs, sf).select("doc_id", "text", F.spark_partition_id().alias("part")).collect()
-    drawn = mixing.draw(mixing.mix_sources(docs, shards=8, seed=9), seed=9).collect()
+    drawn = mixing.draw(mixing.mix_sources(docs, shards=8, seed=9)).collect()
     drawn.sort(key=lambda r: (r["__shard"], r["__order"]))
-    assert [(r["doc_id"], r["text"]) for r in out] == [(r["doc_id"], r["text"]) for r in drawn]
+    assert [(r["doc_id"], r["text"]) for r in out] == [(r["__row"]["doc_id"], r["__row"]["text"]) for r in drawn]
     parts = {}
     for r, d in zip(out, drawn, strict=True):
         parts.setdefault(r["part"], set()).add(d["__shard"])

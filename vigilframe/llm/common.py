@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+_LOCAL: dict[str, str] = {}  # temporary folder of each local session without a shared one
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +38,20 @@ def fold(id_col: str, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
+def packed(docs: DataFrame, names: list[str] | tuple[str, ...] | None = None) -> Column:
+    """The caller's columns as one struct `__row`: helper columns beside it cannot clash with any of their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in (docs.columns if names is None else names)]).alias("__row")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary folder if the master is local, else an error:
+    driver and executors of a cluster share no temporary folder. The session's settings stay as they are."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="vigilframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="vigilframe-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 

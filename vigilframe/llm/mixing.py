@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, shuffle_parts, text_or_empty
+from .common import WORD, materialize, packed, shuffle_parts, text_or_empty
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -55,16 +56,18 @@ def splitting_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Mix:
-    """plan: one row per source. rows: the input's columns, with __copies and what the mix knows of each row."""
+    """plan: one row per source. rows: for each input row __id, __size, __words and __target of its source, and __dealt, its copies."""
 
     plan: list[dict]
     rows: DataFrame
-    ranges: DataFrame
+    dealt: Callable[[DataFrame], DataFrame]
+    docs: DataFrame
+    keys: list[Column]
 
 
 def _pick(group: pd.DataFrame) -> pd.DataFrame:
     """Greedy fill of a source's remainder from its boundary block: units in permuted order that still fit, then one more if that comes nearer."""
-    group = group.sort_values(["__u", "__id", "__crc", "__size"], na_position="last", ignore_index=True)
+    group = group.sort_values("__u", ignore_index=True)
     left, sizes = float(group["__left"].iloc[0]), group["__unit"].to_numpy()
     taken = np.zeros(len(sizes), dtype=bool)
     for i, s in enumerate(sizes.tolist()):
@@ -76,93 +79,99 @@ def _pick(group: pd.DataFrame) -> pd.DataFrame:
         i = rest[np.argmin(sizes[rest])]
         if sizes[i] - left < left:
             taken[i] = True
-    return group.loc[taken, ["__s", "__id", "__crc", "__size"]]
+    return group.loc[taken, ["__s", "__u"]]
+
+
+def _step(n: int, rng: np.random.Generator) -> int:
+    """A factor without a common divisor with n: multiplying by it permutes range(n)."""
+    if n < 3:
+        return 1
+    while True:
+        a = int(rng.integers(1, min(n, 1 << 31)))
+        if gcd(a, n) == 1:
+            return a
 
 
 def mix_sources(
     docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 4096, max_sources: int = 100_000,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 4096,
 ) -> Mix:
-    """How many copies of each row a mix takes, and into which output shards.
+    """Which copies of each row a mix takes, in which output shard and where in it.
 
     A source's size is its number of words. Sources in code-point order, null last, weigh `weights` repeating; water_fill
-    gives their targets. A source's rows fall into permuted blocks of about block_rows rows by a hash of id, text and
-    seed. floor(target / size) whole passes are taken; the remainder takes permuted blocks in order and fills up from the
-    boundary block row by row, which leaves a gap smaller than the smallest row left there. Repeated rows (same id, text
-    and source) are taken or left together. The blocks drawn are dealt to output shards by splitting_tree; shard k takes
-    disjoint ranges of the permuted blocks, and inside a shard rows are ordered by a hash.
-
-    Null text counts as empty, null source is a source. Empty tables and sources without words give zero copies. The
-    driver holds one row per source (max_sources at most, else ValueError).
+    gives their targets. A source's rows fall into blocks of about block_rows rows by a hash of id, text and seed. Its quota
+    is a whole number of blocks: floor(target / size) passes over all its blocks, and as many of one more pass as the rest
+    of the target reaches into. splitting_tree deals the quotas of all sources among the shards; each shard draws as many
+    blocks of a source as it was dealt, disjoint ranges of the source's permuted blocks. A copy exists where a shard drew
+    its block. Of the last block of the last pass only those rows are taken that fill up the target, so a source misses it
+    by less than the smallest row left there. In a shard, copies are ordered by a hash.
+
+    Null text counts as empty, null source is a source. Repeated rows (same id, text and source) are taken or left
+    together. Very long texts are one row; ties of hashes are taken together. Empty tables and sources without words give
+    no copies. The caller's columns are carried as one struct, so none of their names can clash. Texts are counted once;
+    the driver holds one row per source.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col)
-    keyed = docs.withColumns({
-        "__s": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("~")), "__id": F.col(id_col),
-        "__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__crc": F.crc32(text.cast("binary")),
-    })
-    keyed = keyed.withColumn("__u", F.xxhash64("__id", "__crc", "__s", F.lit(seed)))
-    narrow = materialize(keyed.select("__s", "__id", "__crc", "__size", "__u"))
-    found = narrow.groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("words")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("~")).alias("__s")
+    unit = F.xxhash64(F.col(id_col), F.xxhash64(text), F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.col(source_col).isNull(), F.lit(seed)).alias("__u")
+    narrow = materialize(docs.select(F.col(id_col).alias("__id"), source, unit, F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size")))
+    found = narrow.groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("words")).collect()
     found.sort(key=lambda r: (r["__s"] == "~", r["__s"].encode()))  # "~" alone is null; others start with s
     targets = water_fill([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap)
     plan = []
     for r, t in zip(found, targets, strict=True):
         passes = min(cap, floor(t / r["words"] + 1e-9)) if r["words"] else 0
         plan.append({"__s": r["__s"], "words": r["words"], "target": t, "passes": passes, "left": max(0.0, t - passes * r["words"]), "blocks": ceil(r["n"] / block_rows)})
-    small = F.broadcast(spark.createDataFrame([(p["__s"], p["words"], p["target"], p["passes"], p["left"], p["blocks"]) for p in plan], "__s string, __words long, __target double, __passes int, __left double, __blocks int"))
-    block = F.pmod(F.xxhash64("__u", F.lit(seed + 1)), F.col("__blocks")).cast("int")
+    # one row per source: a table of a hundred thousand sources takes some megabytes; beyond, Spark chooses the join
+    small_enough = F.broadcast if len(plan) <= 100_000 else lambda df: df
+    small = small_enough(spark.createDataFrame([(p["__s"], p["left"], p["blocks"]) for p in plan], "__s string, __left double, __blocks long"))
+    block = F.pmod(F.xxhash64("__u", F.lit(seed + 1)), F.col("__blocks"))
 
-    sums = narrow.join(small, "__s").withColumn("__block", block).groupBy("__s", "__block").agg(F.sum("__size").alias("w"), F.first("__left").alias("left"))
+    placed = narrow.join(small, "__s").withColumn("__block", block)
+    sums = placed.groupBy("__s", "__block").agg(F.sum("__size").alias("w"), F.first("__left").alias("left"))
     order = Window.partitionBy("__s").orderBy("__block")
     sums = sums.withColumn("before", F.sum("w").over(order) - F.col("w"))  # block numbers are hashes: their order is a permutation
     edge = sums.filter("before + w > left AND before <= left").groupBy("__s").agg(F.min("__block").alias("b"), F.min_by("before", "__block").alias("before")).collect()
     at = {r["__s"]: (r["b"], r["before"]) for r in edge}
-    drawn = np.array([p["passes"] * p["blocks"] + (at[p["__s"]][0] + 1 if p["left"] and p["__s"] in at else 0) for p in plan], dtype=np.int64)
-    tree = splitting_tree(drawn, shards, seed).cumsum(axis=1) if len(plan) else np.zeros((0, shards), dtype=np.int64)
-    ranges = spark.createDataFrame([(p["__s"], [int(x) for x in row]) for p, row in zip(plan, tree, strict=True)], "__s string, __ends array<long>")
-
-    marks = [(p["__s"], *((at[p["__s"]][0], p["left"] - at[p["__s"]][1]) if p["left"] and p["__s"] in at else (-1, 0.0))) for p in plan]
-    edges = F.broadcast(spark.createDataFrame(marks, "__s string, __edge int, __gap double"))
-    full = small.join(edges, "__s")
-    units = narrow.join(F.broadcast(full), "__s").withColumn("__block", block).filter("__block = __edge")
-    units = units.groupBy("__s", "__id", "__crc", "__size").agg(F.sum("__size").alias("__unit"), F.first("__u").alias("__u"), F.first("__gap").alias("__left"))
-    picked = units.filter("__unit > 0").groupBy("__s").applyInPandas(_pick, narrow.select("__s", "__id", "__crc", "__size").schema)
-    picked = materialize(picked).withColumn("__picked", F.lit(1))
+    rng = np.random.default_rng([seed, 7])
+    for p in plan:
+        p["edge"], p["gap"] = (at[p["__s"]][0], p["left"] - at[p["__s"]][1]) if p["left"] and p["__s"] in at else (-1, 0.0)
+        p["quota"] = p["passes"] * p["blocks"] + p["edge"] + 1
+        p["step"] = _step(p["quota"], rng)
+    tree = splitting_tree(np.array([p["quota"] for p in plan], dtype=np.int64), shards, seed).cumsum(axis=1) if plan else np.zeros((0, shards), dtype=np.int64)
+    known = [(p["__s"], p["words"], p["target"], p["passes"], p["blocks"], p["edge"], p["gap"], p["quota"], p["step"], [int(x) for x in row]) for p, row in zip(plan, tree, strict=True)]
+    full = small_enough(spark.createDataFrame(known, "__s string, __words long, __target double, __passes int, __blocks long, __edge long, __gap double, __quota long, __step long, __ends array<long>"))
+
+    units = narrow.join(full, "__s").withColumn("__block", block).filter("__block = __edge")
+    units = units.groupBy("__s", "__u").agg(F.sum("__size").alias("__unit"), F.first("__gap").alias("__left"))
+    picked = materialize(units.filter("__unit > 0").groupBy("__s").applyInPandas(_pick, narrow.select("__s", "__u").schema))
+    picked = picked.select(F.col("__s").alias("__s2"), F.col("__u").alias("__u2")).distinct()
     if len(plan) * block_rows * 4 <= 4_000_000:  # rows, a bound from the number of sources and the block size; else a shuffle join
         picked = F.broadcast(picked)
-    rows = keyed.join(F.broadcast(full), "__s").withColumn("__block", block)
-    p = picked.select(*[F.col(c).alias(f"{c}2") for c in ("__s", "__id", "__crc", "__size")], "__picked")
-    same = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in ("__s", "__id", "__crc", "__size")]
-    rows = rows.join(p, same[0] & same[1] & same[2] & same[3], "left").drop("__s2", "__id2", "__crc2", "__size2")
-    extra = F.when(F.col("__edge") < 0, 0).when(F.col("__block") < F.col("__edge"), 1).otherwise(F.coalesce("__picked", F.lit(0)))
-    rows = rows.withColumn("__copies", (F.col("__passes") + extra).cast("int")).drop("__left", "__gap", "__picked", "__edge", "__id")
-    return Mix(plan, rows, ranges)
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        """rows(__s, __u, ...) with what the mix knows of their source, and __dealt."""
+        rows = rows.join(full, "__s").withColumn("__block", block)
+        rows = rows.join(picked, (F.col("__s") == F.col("__s2")) & (F.col("__u") == F.col("__u2")), "left")
 
-def deal(mix: Mix, seed: int = 0) -> DataFrame:
-    """mix.rows with __dealt: for each copy its __shard and __order, the order inside the shard; empty without copies.
-
-    Copy c of a row in permuted block b is in virtual block c * blocks + b of its source; the tree's ranges say to which
-    shard that belongs.
-    """
-    rows = mix.rows.join(F.broadcast(mix.ranges), "__s")
-    copies = F.when(F.col("__copies") > 0, F.sequence(F.lit(0), F.col("__copies") - 1)).otherwise(F.array().cast("array<int>"))
+        def place(c):
+            v = c.cast("long") * F.col("__blocks") + F.col("__block")
+            there = F.pmod(v * F.col("__step"), F.greatest("__quota", F.lit(1)))
+            shard = F.size(F.filter("__ends", lambda e: e <= there))  # `shards` where no shard drew that block
+            whole = (v < F.col("__quota")) & ((v < F.col("__quota") - 1) | (F.col("__edge") < 0) | F.col("__s2").isNotNull())
+            return F.struct(F.when(whole, shard).otherwise(shards).alias("__shard"), F.xxhash64("__u", c, F.lit(seed + 2)).alias("__order"))
 
-    def place(c):
-        v = c.cast("long") * F.col("__blocks") + F.col("__block")
-        shard = F.least(F.size(F.filter("__ends", lambda e: e <= v)), F.size("__ends") - 1)
-        return F.struct(shard.alias("__shard"), F.xxhash64("__u", c, F.lit(seed + 2)).alias("__order"))
+        copies = F.transform(F.sequence(F.lit(0), F.col("__passes")), place)
+        return rows.withColumn("__dealt", F.filter(copies, lambda x: x["__shard"] < shards))
 
-    return rows.withColumn("__dealt", F.transform(copies, place))
+    return Mix(plan, dealt(narrow).select("__id", "__size", "__words", "__target", "__dealt"), dealt, docs, [source, unit])
 
 
-def draw(mix: Mix, seed: int = 0) -> DataFrame:
-    """The mix itself: each row once per copy, with __shard and __order as deal() gives them."""
-    dealt = deal(mix, seed)
-    return dealt.select("*", F.posexplode("__dealt").alias("__copy", "__at")).select("*", "__at.*").drop("__dealt", "__at")
+def draw(mix: Mix) -> DataFrame:
+    """The mix itself: __row, the caller's columns as a struct, once per copy with its __shard and __order, the order inside the shard."""
+    rows = mix.dealt(mix.docs.select(packed(mix.docs), *mix.keys))
+    return rows.select("__row", F.explode("__dealt").alias("__at")).select("__row", "__at.*")
 
 
 def shuffled(drawn: DataFrame, shards: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import packed, text_or_empty
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int = 8, seed: i
 
 
 def number_rows(df: DataFrame, order: list, rows_per_bucket: int = 50_000, least_buckets: int = 256) -> tuple[DataFrame, int]:
-    """Adds __row, gapless from 0, and gives the number of rows.
+    """Adds __number, gapless from 0, and gives the number of rows.
 
     Rows are dealt to hash buckets of `order`, counted by bucket (one row per bucket reaches the driver) and numbered
     inside each bucket, so a task sorts about rows_per_bucket rows whatever the size. Equal tuples of `order` are
@@ -77,21 +77,22 @@ def number_rows(df: DataFrame, order: list, rows_per_bucket: int = 50_000, least
     table = spark.createDataFrame([(b, s) for b, s in starts.items()], "__bucket int, __start long")
     within = Window.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_last() for c in order])
     out = df.withColumn("__in", F.row_number().over(within)).join(F.broadcast(table), "__bucket")
-    return out.withColumn("__row", F.col("__start") + F.col("__in") - 1).drop("__bucket", "__in", "__start"), total
+    return out.withColumn("__number", F.col("__start") + F.col("__in") - 1).drop("__bucket", "__in", "__start"), total
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Every input row with the columns `carry` (None: all), and __id, __size, __crc, __shard and __slot.
+    """Every input row as __row, a struct of the columns `carry` (None: all), with __id, __size, __crc, __shard and __slot.
 
     The law is `rows`: shard counts differ by one at most and slots are gapless from 0. Row numbers follow a hash of id,
     CRC-32 of the text and size, so they do not depend on files or partitions; rows that agree in all three are
-    interchangeable. Null text has size 1 and CRC 0. An empty table gives an empty result. Only the columns to carry are
-    shuffled, once.
+    interchangeable. Null text has size 1 and CRC 0; null ids are numbered like others. Very long texts count as any row.
+    The caller's columns are in a struct, so their names cannot clash. An empty table gives an empty result. Only the
+    columns to carry are shuffled, once.
     """
     text = text_or_empty(text_col)
     own = {"__id": F.col(id_col), "__size": (F.octet_length(text) + 1).cast("long"), "__crc": F.crc32(text.cast("binary"))}
-    keyed = docs.select(*(docs.columns if carry is None else carry), *[v.alias(k) for k, v in own.items()])
-    numbered, n = number_rows(keyed, ["__id", "__crc", "__size"], rows_per_bucket)
+    rows = [packed(docs, carry)] if carry is None or carry else []
+    numbered, n = number_rows(docs.select(*rows, *[v.alias(k) for k, v in own.items()]), ["__id", "__crc", "__size"], rows_per_bucket)
 
     @F.pandas_udf("shard int, slot long")
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -99,5 +100,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str
             shard, slot = locate(rows.to_numpy(), n, shards, seed)
             yield pd.DataFrame({"shard": shard.astype(np.int32), "slot": slot})
 
-    out = numbered.withColumn("__at", place("__row"))
-    return out.withColumns({"__shard": F.col("__at.shard"), "__slot": F.col("__at.slot")}).drop("__at", "__row")
+    out = numbered.withColumn("__at", place("__number"))
+    return out.withColumns({"__shard": F.col("__at.shard"), "__slot": F.col("__at.slot")}).drop("__at", "__number")
