@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, pieces
+from .common import bound_batches, packed, pieces
 
 UNDETERMINED = "und"
 
@@ -23,13 +23,13 @@ def _letters() -> np.ndarray:
 
 
 def subwords(texts: list[str], buckets: int, orders: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Bucket of each character n-gram inside words and their edges, one array per order; text starts; letters per text.
+    """Bucket of each character n-gram inside words and their edges, one array per order; text starts, with the blanks before; letters per text.
 
     Anything but a letter is an edge. n-grams that cross an edge are in bucket 0, which has no weight.
     """
     low = [t.lower() for t in texts]
     pad = " " * max(orders)
-    codes = np.frombuffer((pad.join(low) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.frombuffer((pad + pad.join(low) + pad).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = np.zeros(len(low), dtype=np.int64)
     np.cumsum([len(t) + len(pad) for t in low[:-1]], out=starts[1:])
     letter = _letters()[codes]
@@ -145,19 +145,23 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
 
 
 def sample_rows(docs: DataFrame, usable, per_language: int, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_chars: int = 3000) -> list[tuple[str, str]]:
-    """About per_language (text, language) pairs of each language for training: rows by a hash of the id, at most most_chars each.
+    """About per_language (text, language) pairs of each language for training, twice as many in all at most.
 
-    One pass counts the languages, one takes each language's share, so the driver gets a bounded sample whatever the size.
+    Rows are drawn by a hash of id and text. Of a text longer than most_chars that many characters are taken, from a place
+    that the hash sets. One pass counts the languages, one takes each language's share, so the driver gets a bounded sample
+    whatever the size, repeated rows included.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1_000_000)) / 1e6
-    got = rows.filter(draw < share[F.col(lang_col)]).select(id_col, F.substring(text_col, 1, most_chars).alias("t"), F.col(lang_col).alias("l")).collect()
-    got.sort(key=lambda r: (r[0] is None, r[0] or 0, r["t"]))
-    return [(r["t"], r["l"]) for r in got]
+    hashed = F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(11))
+    draw = F.pmod(hashed, F.lit(1_000_000)) / 1e6
+    start = 1 + F.pmod(F.shiftrightunsigned(hashed, 20), F.greatest(F.length(text_col) - most_chars + 1, F.lit(1)))
+    drawn = rows.filter(draw < share[F.col(lang_col)]).select(hashed.alias("h"), F.substring(F.col(text_col), start.cast("int"), F.lit(most_chars)).alias("t"), F.col(lang_col).alias("l"))
+    got = drawn.orderBy("h").limit(2 * per_language * len(counts)).collect()
+    return sorted((r["t"], r["l"]) for r in got)
 
 
 def train_from(docs: DataFrame, usable, per_language: int = 1500, seed: int = 0, **names) -> LanguageModel:
@@ -167,13 +171,16 @@ def train_from(docs: DataFrame, usable, per_language: int = 1500, seed: int = 0,
 
 
 def identify(docs: DataFrame, model: LanguageModel, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns and __lang, __score, __rejected for every row and whole text; nothing is shuffled.
+    """__row, a struct of the given columns, with __lang, __score and __rejected for every row and whole text; nothing is shuffled.
 
     `und` with score 0 where the text is null, empty or has no letter, or no language was learned. __rejected marks
-    scores below the calibrated threshold.
+    scores below the calibrated threshold. Of languages with equal probability the first in order wins. Very long texts
+    are read whole; repeated rows are answered each, alike. The caller's columns are in a struct, so their names cannot
+    clash. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(packed(docs, columns), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -185,7 +192,6 @@ def identify(docs: DataFrame, model: LanguageModel, columns: list[str], text_col
                     best, score, low = m.predict(texts)
                 else:
                     best, score, low = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(names[best]), pa.array(score.astype(np.float64)), pa.array(low)], names=[*columns, "__lang", "__score", "__rejected"])
+                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(names[best]), pa.array(score.astype(np.float64)), pa.array(low)], names=["__row", "__lang", "__score", "__rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, __lang string, __score double, __rejected boolean")
+    return rows.mapInArrow(run, rows.select("__row").schema.add("__lang", "string").add("__score", "double").add("__rejected", "boolean"))
