@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import language_id
-from .common import bound_batches, pieces
+from .common import bound_batches, packed, pieces
 
 WORDS = re.compile(r"\w+").findall
 
@@ -67,17 +67,22 @@ class ToxicityModel:
             flat += gap
         return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
 
+    def ends(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Behind the last window of each text."""
+        return np.append(starts[1:], len(ids)) - len(self.filters) + 1
+
     def pooled(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Max over each text of every filter's activation, and the activations."""
-        x = self.emb[ids]
+        """Max over each text of every filter's activation, and the activations. Windows begin at a word or the blank after the last, so none reaches the next text."""
+        x = self.emb[np.append(ids, 0)]
         tops, acts = [], []
+        bounds = np.stack([starts, self.ends(ids, starts)], axis=1).ravel()
         for f in self.filters:
-            n = len(ids) - len(f) + 1
+            n = len(x) - len(f) + 1
             a = x[:n] @ f[0]
             for j in range(1, len(f)):
                 a += x[j : n + j] @ f[j]
             acts.append(a)
-            tops.append(np.maximum.reduceat(a, np.minimum(starts, n - 1), axis=0))
+            tops.append(np.maximum.reduceat(a, bounds, axis=0)[::2])
         return np.concatenate(tops, axis=1), acts
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -112,16 +117,35 @@ def _best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray, floor: flo
     return max(floor, float(good.max() + good.min()) / 2)
 
 
+def calibrate(model: ToxicityModel, lang: np.ndarray, z: np.ndarray, gold: np.ndarray, weight: np.ndarray, floor: float, least_positives: int = 20) -> None:
+    """Sets the thresholds, one for each language with least_positives positives, and the slope from scored labelled texts.
+
+    lang: place in the language model's list, -1 for none. weight: how many texts a row stands for.
+    """
+    hits = (gold * weight).sum()
+    model.thresholds = {"": _best_threshold(z, gold, weight, floor) if hits else 0.0}
+    if model.language:
+        for k, name in enumerate(model.language.languages):
+            own = lang == k
+            if (gold[own] * weight[own]).sum() >= least_positives:
+                model.thresholds[name] = _best_threshold(z[own], gold[own], weight[own], floor)
+    if len(z):
+        lean = z - model.thresholds[""]
+        grid = np.geomspace(0.1, 10, 40)
+        base = np.log(model.cut / (1 - model.cut))
+        loss = [(weight * np.logaddexp(0, -(2 * gold - 1) * (s * lean + base))).sum() for s in grid]
+        model.slope = float(grid[int(np.argmin(loss))])
+
+
 def train(
     texts: list[str], toxic: list[int], language: language_id.LanguageModel | None = None, buckets: int = 1 << 18, dim: int = 16, widths: tuple[int, ...] = (1, 2, 3),
-    n_filters: int = 8, least_steps: int = 700, rate: float = 0.01, least_texts: int = 3, negatives_stand_for: float = 1.0, seed: int = 0,
+    n_filters: int = 8, least_steps: int = 700, rate: float = 0.01, least_texts: int = 3, hold_out: bool = True, seed: int = 0,
 ) -> ToxicityModel:
-    """Adam on the logistic loss, as many epochs as least_steps takes; a fifth of the texts sets slope and thresholds.
+    """Adam on the logistic loss, as many epochs as least_steps takes; with hold_out, a fifth of the texts sets slope and thresholds.
 
     Words in fewer than least_texts training texts are known by their beginning only, like unseen ones, so that unseen
     endings of a telling word still tell; words with an unknown beginning share one bucket, so that the endless tail of
-    rare words cannot collide with a telling one. In training a part of the words is replaced by their beginnings. negatives_stand_for: rows that each negative of the sample stands for.
-    A language with fewer than 20 positive calibration texts takes the common threshold.
+    rare words cannot collide with a telling one. In training a part of the words is replaced by their beginnings.
     """
     rng = np.random.default_rng(seed)
     seen: Counter[str] = Counter()
@@ -138,7 +162,8 @@ def train(
         model.thresholds = {"": 0.0 if len(y) and y.max() else 8.0}
         return model
     order = rng.permutation(len(texts))
-    aside, fit = order[: len(texts) // 5], order[len(texts) // 5 :]
+    cut = len(texts) // 5 if hold_out else 0
+    aside, fit = order[:cut], order[cut:]
     params = [model.emb, *model.filters, model.shift, model.out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, size, spans = 0, 32, np.cumsum([0] + [n_filters] * len(widths))
@@ -173,13 +198,13 @@ def train(
             d_live = np.outer(g, model.out) * (live > 0)
             grads = [None, *[np.zeros_like(f) for f in model.filters], d_live.sum(axis=0), live.T @ g]
             rows, deltas = [], []
-            ends = [*starts[1:].tolist(), len(ids)]
+            ends = model.ends(ids, starts).tolist()
             for k, f in enumerate(model.filters):
                 dk = d_live[:, spans[k] : spans[k + 1]]
                 for d, (s, e) in enumerate(zip(starts.tolist(), ends, strict=True)):
                     if not dk[d].any():
                         continue
-                    where = acts[k][s : max(s + 1, min(e, len(acts[k])))].argmax(axis=0) + s
+                    where = acts[k][s:e].argmax(axis=0) + s
                     for j in range(len(f)):
                         x = ids[where + j]
                         grads[1 + k][j] += model.emb[x].T * dk[d]
@@ -199,61 +224,89 @@ def train(
                 second[0][u] += ge**2
                 move = u > 0
                 model.emb[u[move]] -= 0.1 * ge[move] / (np.sqrt(second[0][u[move]]) + 1e-6)
-    z = np.concatenate([model.logits([texts[i] for i in aside[k : k + 64]]) for k in range(0, len(aside), 64)]) if len(aside) else np.zeros(0)
-    gold = y[aside]
-    weight = np.where(gold > 0, 1.0, negatives_stand_for)
-    floor = float(np.log(negatives_stand_for))
-    model.thresholds = {"": _best_threshold(z, gold, weight, floor) if len(z) and gold.max() > 0 else 0.0}
-    if language and language.languages and len(aside):
-        best = np.concatenate([language.predict([texts[i] for i in aside[k : k + 64]])[0] for k in range(0, len(aside), 64)])
-        for k, name in enumerate(language.languages):
-            own = best == k
-            if gold[own].sum() >= 20:
-                model.thresholds[name] = _best_threshold(z[own], gold[own], weight[own], floor)
-    if len(z):
-        lean = z - model.thresholds[""]
-        grid = np.geomspace(0.1, 10, 40)
-        base = np.log(model.cut / (1 - model.cut))
-        loss = [(weight * np.logaddexp(0, -(2 * gold - 1) * (s * lean + base))).sum() for s in grid]
-        model.slope = float(grid[int(np.argmin(loss))])
+    if len(aside):
+        some = [[texts[i] for i in aside[k : k + 64]] for k in range(0, len(aside), 64)]
+        z = np.concatenate([model.logits(t) for t in some])
+        lang = np.concatenate([language.predict(t)[0] for t in some]) if language and language.languages else np.full(len(z), -1)
+        calibrate(model, lang, z, y[aside], np.ones(len(z)), 0.0)
     return model
 
 
-def train_from(docs: DataFrame, labels: DataFrame, usable, most_rows: int = 2000, most_chars: int = 8_000, language: language_id.LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", seed: int = 0) -> ToxicityModel:
-    """A model from at most most_rows positive and most_rows negative labelled rows, chosen by a hash of the id.
+BIN = 0.02  # width of the bins of logits that calibration counts
+
 
-    The ids chosen (2 * most_rows at most) go to all tasks, so the documents are scanned but not shuffled; of each, at
-    most most_chars characters are used for training. Of several labels of one id the largest counts.
+def train_from(
+    docs: DataFrame, labels: DataFrame, usable, most_rows: int = 2000, most_bytes: int = 64 << 20, language: language_id.LanguageModel | None = None,
+    id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", seed: int = 0,
+) -> ToxicityModel:
+    """A model whose weights are fit on a bounded sample of whole texts and whose thresholds follow from all other usable labels.
+
+    A fifth of the labelled ids, by a hash, calibrates; of the rest at most most_rows positive and most_rows negative ids
+    and most_bytes of text are fit, chosen by another hash. The ids chosen go to all tasks, so the documents are scanned
+    but not shuffled. Every document of the fifth is scored whole where it lies; only counts by language, logit bin and
+    label reach the driver. Of several labels of one id the largest counts, of several texts of one id the least is fit.
     """
-    known = labels.filter(usable & F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(toxic_col).alias("y"))
+    spark = docs.sparkSession
+    id_type = labels.schema[id_col].dataType.simpleString()
+    known = labels.filter(usable & F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(toxic_col).alias("__y"))
+    part = F.pmod(F.xxhash64("__i", F.lit(seed + 1)), F.lit(5))
     ids, seen = [], {}
     for y in (1, 0):
-        rows = known.filter(F.col("y") == y)
+        rows = known.filter((F.col("__y") == y) & (part > 0))
         seen[y] = rows.count()
-        ids += rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(most_rows).collect()
-    chosen = docs.sparkSession.createDataFrame([(r[0], int(r["y"])) for r in ids], f"`{id_col}` {labels.schema[id_col].dataType.simpleString()}, y int")
-    got = docs.select(id_col, F.substring(F.coalesce(text_col, F.lit("")), 1, most_chars).alias("t")).join(F.broadcast(chosen), id_col).collect()
-    got.sort(key=lambda r: (r[0], r["t"]))
+        ids += rows.orderBy(F.xxhash64("__i", F.lit(seed)), "__i").limit(most_rows).collect()
+    chosen = F.broadcast(spark.createDataFrame([(r[0], int(r["__y"])) for r in ids], f"__i {id_type}, __y int"))
+    texts = docs.select(F.col(id_col).alias("__i"), F.coalesce(text_col, F.lit("")).alias("__t")).join(chosen, "__i")
+    one = texts.groupBy("__i", "__y").agg(F.min("__t").alias("__t"))
+    room = one.select(F.xxhash64("__i", F.lit(seed)).alias("h"), "__y", F.octet_length("__t").alias("n")).orderBy("h", "__y").collect()
+    last, total = None, 0
+    for r in room:  # 2 * most_rows at most
+        total += r["n"]
+        if total > most_bytes:
+            break
+        last = r["h"]
+    got = one.filter(F.xxhash64("__i", F.lit(seed)) <= F.lit(last)).collect() if last is not None else []
+    got = sorted((r["__t"], r["__y"]) for r in got)
+    model = train([t for t, _ in got], [y for _, y in got], language, hold_out=False, seed=seed)
+    if len({y for _, y in got}) < 2:
+        return model
+    # negatives that each negative of the sample stands for: what even odds are in the sample's own odds
     stands = max(1.0, seen[0] / max(1, min(seen[0], most_rows))) / max(1.0, seen[1] / max(1, min(seen[1], most_rows)))
-    return train([r["t"] for r in got], [r["y"] for r in got], language, negatives_stand_for=stands, seed=seed)
+    held = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            for piece in pieces(batch, "__t", 1 << 20):
+                words = piece.column("__t").to_pylist()
+                lang = m.language.predict(words)[0] if m.language and m.language.languages else np.full(len(words), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(np.floor(m.logits(words) / BIN).astype(np.int64)), piece.column("__y").cast(pa.int32())], names=["lang", "bin", "y"])
+
+    aside = docs.select(F.col(id_col).alias("__i"), F.coalesce(text_col, F.lit("")).alias("__t")).filter(part == 0).join(known.filter(part == 0), "__i").select("__t", "__y")
+    cells = aside.mapInArrow(score, "lang int, bin bigint, y int").groupBy("lang", "bin", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    if cells:
+        lang, bin_, y, n = (np.array(x, dtype=np.float64) for x in zip(*cells, strict=True))
+        calibrate(model, lang, (bin_ + 0.5) * BIN, y, n, float(np.log(stands)))
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, columns: list[str], text_col: str = "text", keep_below: float | None = None) -> DataFrame:
-    """The given columns and __toxicity for every row and whole text; nothing is shuffled.
+    """__row, a struct of the given columns, and __toxicity for every row and whole text; nothing is shuffled.
 
-    Null text counts as empty and gets the score of a text without words. keep_below: only rows that score less.
+    Null text counts as empty and gets the score of a text without words. Repeated rows are scored each, alike; a score
+    equal to the cut counts as toxic. Very long texts are pooled whole. The caller's columns are in a struct, so their
+    names cannot clash. An empty table gives an empty result. keep_below: only rows that score less.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    cols = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("__text"))
+    rows = docs.select(packed(docs, columns), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             for part in pieces(batch, "__text", 1 << 20):
                 score = m.score([t or "" for t in part.column("__text").to_pylist()])
-                out = pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(score.astype(np.float64))], names=[*columns, "__toxicity"])
+                out = pa.RecordBatch.from_arrays([part.column("__row"), pa.array(score.astype(np.float64))], names=["__row", "__toxicity"])
                 yield out if keep_below is None else out.filter(pa.array(score < keep_below))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return cols.mapInArrow(run, f"{schema}, __toxicity double")
+    return rows.mapInArrow(run, rows.select("__row").schema.add("__toxicity", "double"))
