@@ -370,7 +370,7 @@ def train(samples: list[tuple[str, list[Span]]], w: Windows = Windows(), generat
     rng, net = np.random.default_rng(seed), BiLstmCrf(seed=seed)
     data = []
     for text, spans in samples:
-        for s in window_starts(text, w)[:4] or [0]:
+        for s in window_starts(text, w) or [0]:
             data.append(labelled(text, spans, s, w.size))
     for _ in range(generated):
         text, spans = samples[rng.integers(len(samples))]
@@ -405,7 +405,8 @@ def train(samples: list[tuple[str, list[Span]]], w: Windows = Windows(), generat
 
 
 def train_from(docs: DataFrame, most_texts: int = 800, around: int = 160, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> BiLstmCrf | None:
-    """A network from about most_texts passages: texts with a digit or an @ by a hash of the id, each cut to `around` characters beside its first one.
+    """A network from at most 2 * most_texts passages, about most_texts: texts with a digit or an @ by a hash of id and text,
+    of each the `around` characters on either side of one such place, chosen by the same hash.
 
     The labelled spans are those of the fixed patterns; generated items in the same passages show the writings they miss.
     """
@@ -413,19 +414,30 @@ def train_from(docs: DataFrame, most_texts: int = 800, around: int = 160, id_col
     n = rows.count()
     if not n:
         return None
-    share = min(1.0, most_texts / n)
-    draw = F.pmod(F.xxhash64(id_col, F.lit(seed + 3)), F.lit(1_000_000)) / 1e6
-    first = F.length(F.regexp_extract(text_col, r"(?s)^([^0-9@]*)", 1))
-    got = rows.filter(draw < share).select(id_col, F.substring(F.col(text_col), F.greatest(first - around, F.lit(1)), F.lit(2 * around)).alias("t")).collect()
-    got.sort(key=lambda r: (r[0] is None, r[0] or 0, r["t"]))
+    hashed = F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(seed + 3))
+    drawn = rows.filter(F.pmod(hashed, F.lit(1_000_000)) / 1e6 < min(1.0, most_texts / n)).select(hashed.alias("h"), F.col(text_col).alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                places = [m.start() for m in re.finditer("[0-9@]", t)]
+                at = places[(h >> 20) % len(places)]
+                out.append(t[max(0, at - around) : at + around])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, pa.string())], names=["h", "t"])
+
+    got = drawn.mapInArrow(cut, "h bigint, t string").orderBy("h", "t").limit(2 * most_texts).collect()
     return train([(r["t"], base_spans(r["t"])) for r in got], seed=seed)
 
 
 def detect(docs: DataFrame, net: BiLstmCrf | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.9) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added for every row and whole text; nothing is shuffled.
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added, n_spans for every row and whole text; nothing is shuffled.
 
-    Counts and hash are of the base spans; `spans` has those and the added ones, `added` how many the network added. Added
-    spans never overlap base ones. Null text counts as empty: no spans, the hash of the empty string.
+    Counts and hash are of the base spans; `spans` has those and the added ones, `added` how many the network added,
+    n_spans how many there are in all. Added spans never overlap base ones or each other; of overlapping ones the set with
+    the greatest weight stays, of equal sets the one that ends first. Null text counts as empty: no spans, the hash of the
+    empty string. Repeated rows are answered each, alike; very long texts are read whole. Only id and text are read, so
+    other columns' names do not matter. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -437,7 +449,7 @@ def detect(docs: DataFrame, net: BiLstmCrf | None, id_col: str = "doc_id", text_
                 got = find_spans([t or "" for t in part.column("__text").to_pylist()], held.value, least=least)
                 counts = [pa.array([sum(s[0] == k for s in b) for b, _ in got], type=pa.int64()) for k in KINDS]
                 digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got])
-                yield pa.RecordBatch.from_arrays([part.column("__id"), *counts, digest, pa.array([joined(b + a) for b, a in got]), pa.array([len(a) for _, a in got], type=pa.int64())], names=[id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "added"])
+                yield pa.RecordBatch.from_arrays([part.column("__id"), *counts, digest, pa.array([joined(b + a) for b, a in got]), pa.array([len(a) for _, a in got], type=pa.int64()), pa.array([len(b) + len(a) for b, a in got], type=pa.int64())], names=[id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "added", "n_spans"])
 
-    schema = f"`{id_col}` {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, added bigint"
+    schema = f"`{id_col}` {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, added bigint, n_spans bigint"
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
