@@ -185,12 +185,13 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.find_contamination(table(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_hamming_blocks_find_all_in_radius():
+@pytest.mark.parametrize("radius", [15, 23])
+def test_hamming_blocks_find_all_in_radius(radius):
     rng = np.random.default_rng(1)
     stored = [int(x) for x in rng.integers(0, 1 << 63, 50)]
-    index = decontaminate.HammingBlocks(stored, 23)
+    index = decontaminate.HammingBlocks(stored, radius)
     for q in [int(x) for x in rng.integers(0, 1 << 63, 50)] + stored:
-        assert sorted(index.near(q)) == [i for i, s in enumerate(stored) if (s ^ q).bit_count() <= 23]
+        assert sorted(index.near(q)) == [i for i, s in enumerate(stored) if (s ^ q).bit_count() <= radius]
 
 
 def test_language_id(spark, sf):
@@ -200,9 +201,8 @@ def test_language_id(spark, sf):
     right = held.filter(F.col("lang_pred") == F.col("lang")).count()
     assert right >= 0.9 * held.count() and got.count() == docs.count()
     model = language_id.train(["the cat and the dog are here", "le chat et le chien sont là"] * 20, ["en", "fr"] * 20)
-    odd = {str((r["doc_id"], r["text"]))[:20]: r for r in language_id.identify(table(spark, ODD), model, ["doc_id", "text"]).collect()}
-    for r in odd.values():
-        no_letter = not any(c.isalpha() for c in r["text"] or "")
+    for r in language_id.identify(table(spark, ODD), model, ["doc_id", "text"]).collect():
+        no_letter = not any(c.isalpha() for c in r["__row"]["text"] or "")
         assert (r["__lang"] == "und") == no_letter and 0 <= r["__score"] <= 1
     assert language_id.identify(table(spark, []), model, ["doc_id"]).count() == 0
     nothing = language_id.train_from(table(spark, []), F.lit(True))
@@ -403,23 +403,25 @@ def test_mixing(spark, block_rows):
     rows = [(i, "w " * int(rng.integers(0, 40)), "en", str(rng.choice(["a", "b", "B", "c", "d"], p=[0.6, 0.2, 0.1, 0.05, 0.05]))) for i in range(400)]
     rows += [(500, None, "en", None), (501, "one two", "en", None), (None, "x y z", "en", "a"), (7, "rep rep", "en", "c"), (7, "rep rep", "en", "c")]
     mix = mixing.mix_sources(table(spark, rows), shards=4, seed=3, block_rows=block_rows)
-    got = [(r["doc_id"], r["source"], r["__size"], r["__words"], r["__target"], r["__copies"]) for r in mix.rows.collect()]
+    got = [(r["__id"], r["__size"], r["__words"], r["__target"], len(r["__dealt"])) for r in mix.rows.collect()]
     assert len(got) == len(rows)
     words = Counter()
     for _, t, _, s in rows:
         words[s] += len((t or "").split())
     names = sorted(words, key=lambda s: (s is None, (s or "").encode()))
     target = dict(zip(names, mixing.water_fill([words[s] for s in names], [1 + i % 3 for i in range(len(names))]), strict=True))
+    assert sorted((n, round(t, 6)) for _, n, w, t, _ in got for n in [w]) == sorted((words[s], round(target[s], 6)) for *_, s in rows)
+    assert all(0 <= copies <= 3 for *_, copies in got)
+    assert Counter(str(g[:2]) for g in got) == Counter(str((i, len((t or "").split()))) for i, t, *_ in rows)
+    drawn = mixing.draw(mix).collect()
     taken = Counter()
-    for _, s, size, total, t, copies in got:
-        assert total == words[s] and t == pytest.approx(target[s]) and 0 <= copies <= 3
-        taken[s] += size * copies
+    for r in drawn:
+        taken[r["__row"]["source"]] += len((r["__row"]["text"] or "").split())
     for s in names:
         assert abs(taken[s] - target[s]) <= max(2, 0.02 * target[s])
     again = mixing.mix_sources(table(spark, rows[::-1]).repartition(3), shards=4, seed=3, block_rows=block_rows)
-    assert sorted(str((r["doc_id"], r["__copies"])) for r in again.rows.collect()) == sorted(str((g[0], g[5])) for g in got)
-    drawn = mixing.draw(mix).collect()
-    assert len(drawn) == sum(g[5] for g in got) and {r["__shard"] for r in drawn} <= set(range(4))
+    assert sorted(str((r["__id"], r["__dealt"])) for r in again.rows.collect()) == sorted(str((r["__id"], r["__dealt"])) for r in mix.rows.collect())
+    assert len(drawn) == sum(g[4] for g in got) and {r["__shard"] for r in drawn} <= set(range(4))
     empty = mixing.mix_sources(table(spark, []))
     assert empty.rows.count() == 0 and mixing.draw(empty).count() == 0
 
@@ -441,8 +443,9 @@ def test_sharding(spark):
     for s in range(8):
         assert sorted(r["__slot"] for r in got if r["__shard"] == s) == list(range(counts[s]))
     for r in got:
-        assert r["__size"] == len((r["text"] or "").encode()) + 1 and r["__crc"] == zlib.crc32((r["text"] or "").encode())
+        text = r["__row"]["text"] or ""
+        assert r["__size"] == len(text.encode()) + 1 and r["__crc"] == zlib.crc32(text.encode())
     again = sharding.shard_documents(table(spark, rows[::-1]).repartition(5), seed=1).collect()
-    key = lambda r: str((r["doc_id"], r["text"], r["__shard"], r["__slot"]))
+    key = lambda r: str((r["__row"]["doc_id"], r["__row"]["text"], r["__shard"], r["__slot"]))
     assert sorted(map(key, again)) == sorted(map(key, got))
     assert sharding.shard_documents(table(spark, [])).count() == 0

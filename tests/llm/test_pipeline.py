@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from vigilframe.llm import decontaminate, queries, simhash
+from vigilframe.llm import decontaminate, queries
+
+from .test_near_copies import brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,24 +23,12 @@ def test_stages(spark, sf, tmp_path):
     toxic = {r["doc_id"] for r in queries.op7_toxicity(spark, sf).filter("predicted = 1").collect()}
     assert sorted(r["doc_id"] for r in inputs[1]) == sorted(r["doc_id"] for r in inputs[0] if r["doc_id"] not in toxic)
 
-    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in inputs[1]}
-    ids = sorted(prints)
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert sorted(r["doc_id"] for r in inputs[2]) == [i for i in ids if find(i) == i]
+    given = sorted(inputs[1], key=lambda r: r["doc_id"])
+    stay = {given[i]["doc_id"] for i in brute([r["text"] for r in given])}
+    assert sorted(r["doc_id"] for r in inputs[2]) == sorted(stay)
 
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    index = decontaminate.BenchmarkIndex(items, 5, 0.8, 23)
+    index = decontaminate.BenchmarkIndex(items, 5, 0.8, decontaminate.RADIUS)
     assert sorted(r["doc_id"] for r in inputs[3]) == sorted(r["doc_id"] for r in inputs[2] if not index.search(r["text"]))
 
     copies = Counter(r["doc_id"] for r in inputs[4])

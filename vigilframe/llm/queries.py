@@ -14,7 +14,7 @@ from .common import documents, fold
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language_id.train_from(docs, fold("doc_id", 5) != 0)
-    out = language_id.identify(docs, model, ["doc_id"])
+    out = language_id.identify(docs, model, ["doc_id"]).select("__row.*", "__lang", "__score", "__rejected")
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
@@ -46,7 +46,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(spark, sf_dir)
-    out = toxicity.score_documents(documents(spark, sf_dir).select("doc_id", "text"), model, ["doc_id"])
+    out = toxicity.score_documents(documents(spark, sf_dir).select("doc_id", "text"), model, ["doc_id"]).select("__row.*", "__toxicity")
     score = F.col("__toxicity")
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
 
@@ -61,9 +61,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    rows = mixing.deal(mixing.mix_sources(docs, shards=8, seed=9), seed=9)
-    return rows.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"),
+    return mixing.mix_sources(docs, shards=8, seed=9).rows.select(
+        F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.size("__dealt")).alias("taken"), F.size("__dealt").alias("copies"),
         F.col("__dealt.__shard").alias("shards"), F.col("__dealt.__order").alias("orders"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bound_batches, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, shuffle_parts
 from .components import components
 
 
@@ -86,48 +87,108 @@ def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(radius: int):
+def _runs_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside each run of equal keys."""
+    cut = np.flatnonzero(np.diff(key)) + 1
+    start, end = np.r_[0, cut], np.r_[cut, len(key)]
+    pair = start[end - start == 2]
+    pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
+    a, b = [fp[pair]], [fp[pair + 1]]
+    for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist(), strict=True):
+        if links := spanning_links(np.unique(fp[s:e]), radius):
+            x, y = zip(*links, strict=True)
+            a.append(np.array(x, dtype=np.uint64))
+            b.append(np.array(y, dtype=np.uint64))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _bucket_links(radius: int, hot: int | None, at_once: int = 1 << 17):
+    """Streams rows (key, fp) in order of key. A run of more than `hot` rows is not kept: its key is passed on with `large`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, fp = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]).view(np.uint64)
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        cut = np.flatnonzero(np.diff(key)) + 1
-        start, end = np.r_[0, cut], np.r_[cut, len(key)]
-        pair = start[end - start == 2]
-        pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
-        a, b = [fp[pair]], [fp[pair + 1]]
-        for s, e in zip(start[end - start > 2].tolist(), end[end - start > 2].tolist(), strict=True):
-            if links := spanning_links(np.unique(fp[s:e]), radius):
-                x, y = zip(*links, strict=True)
-                a.append(np.array(x, dtype=np.uint64))
-                b.append(np.array(y, dtype=np.uint64))
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = _runs_links(key, fp, radius)
+            keep = a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(np.zeros(int(keep.sum()), dtype=bool))], names=["a", "b", "large"])
+
+        keys: list[np.ndarray] = []
+        fps: list[np.ndarray] = []
+        skip, n = None, 0
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if skip is not None:
+                key, fp = key[key != skip], fp[key != skip]
+            keys.append(key)
+            fps.append(fp)
+            n += len(key)
+            if n < at_once or not len(key):
+                continue
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            last = int(np.searchsorted(key, key[-1]))
+            whole, big, start = slice(0, last), [], 0
+            if hot is not None and n - last > hot:
+                skip = key[-1]
+                big.append(int(skip))
+                start = n
+            yield from _whole(key[whole], fp[whole], hot, found, big)
+            keys, fps = [key[max(last, start) :]], [fp[max(last, start) :]]
+            n = len(keys[0])
+        if n:
+            yield from _whole(np.concatenate(keys), np.concatenate(fps), hot, found, [])
 
     return run
 
 
-def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096) -> DataFrame:
+def _whole(key: np.ndarray, fp: np.ndarray, hot: int | None, found, big: list[int]) -> Iterator[pa.RecordBatch]:
+    """Links of complete runs; runs of more than `hot` rows are named instead."""
+    if hot is not None and len(key) > hot:
+        value, size = np.unique(key, return_counts=True)
+        big = big + value[size > hot].tolist()
+        keep = ~np.isin(key, value[size > hot])
+        key, fp = key[keep], fp[keep]
+    if len(key):
+        yield found(key, fp)
+    if big:
+        yield pa.RecordBatch.from_arrays([pa.array(big, pa.int64()), pa.array(big, pa.int64()), pa.array([True] * len(big))], names=["a", "b", "large"])
+
+
+def in_tables(prints: DataFrame, radius: int) -> DataFrame:
+    """key for each covering mask beside all columns of prints(fp, ...): two prints within the radius share a key at least once."""
+    masks = [_signed(m) for m in covering_masks(radius)]
+    return prints.select("*", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])).alias("key"))
+
+
+def split_keys(keys: DataFrame, radius: int, level: int) -> DataFrame:
+    """Each row's key replaced by radius+1 finer ones: the word, turned by a few bits at each level, is cut into that many
+    blocks, and a pair within the radius agrees on one block at least."""
+    blocks, step, turn = radius + 1, 64 // (radius + 1), level * 64 // (radius + 1) // 3 + level
+    fp = F.shiftrightunsigned("fp", turn).bitwiseOR(F.shiftleft("fp", 64 - turn)) if turn else F.col("fp")
+    part = F.lit((1 << step) - 1).cast("long")
+    parts = [F.xxhash64("key", F.lit(level), F.lit(i), (F.shiftrightunsigned(fp, i * step).bitwiseAND(part) if i < radius else F.shiftrightunsigned(fp, i * step))) for i in range(blocks)]
+    return keys.withColumn("key", F.explode(F.array(*parts)))
+
+
+def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096, levels: int = 4, rows_per_task: int = 4_000_000) -> DataFrame:
     """Links a, b that connect exactly what pairs of distinct prints(fp) at `radius` bits or fewer connect.
 
-    Every print goes into one bucket per covering mask; a pair within the radius meets in one at least. A bucket of more
-    than `hot` prints is split again by each of radius+1 blocks of the word: of those, a pair within the radius agrees on
-    one at least, so no link is lost and no task gets the bucket whole. Each bucket gives a spanning forest, not pairs.
+    Every print goes into one bucket per covering mask; a pair within the radius meets in one at least. Tasks read their
+    buckets in order, one in memory at a time; the number of tasks follows the number of prints. A bucket of more than
+    `hot` prints is named instead and split by split_keys, `levels` times while there are such, so no link is lost and
+    no task gets it whole; what is larger even then has prints that agree in nearly all bits. Each bucket gives a spanning
+    forest, not pairs.
     """
-    masks = [_signed(m) for m in covering_masks(radius)]
-    tables = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)]))
-    placed = prints.select("fp", tables.alias("key"))
-    large = placed.groupBy("key").count().filter(F.col("count") > hot).select((F.col("key") + 1).alias("k1"))
-    blocks, step = radius + 1, 64 // (radius + 1)
-    parts = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned("fp", i * step).bitwiseAND(F.lit((1 << step) - 1).cast("long"))) for i in range(blocks)]
-    split = placed.join(large, placed["key"] + 1 == large["k1"], "left")
-    keys = split.select(F.explode(F.when(F.col("k1").isNull(), F.array("key")).otherwise(F.array(*parts))).alias("key"), "fp")
-    dealt = keys.repartition(max(shuffle_parts(prints.sparkSession), 1), "key")
-    return dealt.mapInArrow(_bucket_links(radius), "a bigint, b bigint")
+    keys, tables = in_tables(prints, radius), (1 << (radius + 1)) - 1
+    tasks = max(shuffle_parts(prints.sparkSession), -(-prints.count() * tables // rows_per_task))
+    found = []
+    for level in range(levels + 1):
+        dealt = keys.repartition(tasks, "key").sortWithinPartitions("key")
+        out = materialize(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, hot if level < levels else None), "a bigint, b bigint, large boolean"))
+        found.append(out.filter("NOT large").select("a", "b"))
+        large = out.filter("large").select((F.col("a") + 1).alias("k1")).distinct()
+        if large.isEmpty():
+            break
+        keys = split_keys(keys.join(large, keys["key"] + 1 == large["k1"], "left_semi"), radius, level)
+    return reduce(DataFrame.unionAll, found)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -148,5 +209,104 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, rows["__fp"] + 1 == named["fp1"]).select("__id", "__hash", "__fp", "__root", "__component")
 
 
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `width` words; of all words where there are fewer."""
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def jaccard_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the graph that joins sets at Jaccard similarity `threshold` or more. Breadth first, as spanning_links."""
+    size = np.array([len(s) for s in sets])
+    rest, out = np.arange(len(sets)), []
+    flat, owner = np.concatenate(sets), np.repeat(rest, size)
+    while len(rest):
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            shared = np.bincount(owner[np.isin(flat, sets[x], kind="sort")], minlength=len(sets))[rest]
+            near = shared >= threshold * (size[rest] + size[x] - shared) - 1e-9
+            if near.any():
+                found = rest[near].tolist()
+                out += [(x, y) for y in found]
+                front += found
+                rest = rest[~near]
+                keep = np.isin(owner, rest)
+                flat, owner = flat[keep], owner[keep]
+    return out
+
+
+def _verified(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        """Links between the texts of one group; a text that a repeated row brought twice counts once."""
+        seen = dict(zip(group.column("key").to_pylist(), group.column("shingles").to_pylist(), strict=True))
+        keys = sorted(seen)
+        links = jaccard_links([np.frombuffer(seen[k], dtype=np.uint64) for k in keys], threshold)
+        return pa.table({"a": pa.array([keys[x] for x, _ in links], pa.string()), "b": pa.array([keys[y] for _, y in links], pa.string())})
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", print_width: int = 2, radius: int = 7, width: int = 5, threshold: float = 0.8, group_bytes: int = 32 << 20,
+) -> DataFrame:
+    """One row per input row: __id, __raw (a hash of the text) and __group: rows of one group are near copies.
+
+    Two texts link when their sets of `width`-word shingles have Jaccard similarity `threshold` or more and the SimHash
+    fingerprints of their `print_width`-word shingles differ in `radius` bits at most; a group is what links reach. Texts
+    that are equal after lower-casing A-Z and joining words by one blank are one text with one set, so copies make no
+    pairs. Covering masks find all pairs of fingerprints within the radius; what those connect is verified on the whole
+    sets, group by group. A group with more than group_bytes of sets is verified inside the buckets of the masks
+    instead, in each of which it is smaller, and the links are joined afterwards: a pair within the radius meets in one.
+
+    Null, empty and blank texts are one text. Null ids are kept. Repeated rows stay repeated. An empty table gives an
+    empty result. Only id and text are read, so other columns' names do not matter.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+    def words_of(part: pa.RecordBatch) -> list[list[bytes]]:
+        return [t.translate(LOWER).split() for t in raw_texts(part, "__text")]
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "__text"):
+                lines = [b" ".join(w) for w in words_of(part)]
+                prints = np.array([fingerprint(t, print_width) for t in lines], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__raw"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in lines], pa.string()), pa.array(prints)], names=["__id", "__raw", "key", "fp"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "__text"):
+                sets = [shingle_set(w, width).tobytes() for w in words_of(part)]
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("fp"), part.column("key"), pa.array(sets, pa.binary())], names=["root", "fp", "key", "shingles"])
+
+    body = docs.select(F.col(id_col).alias("__id"), raw.alias("__raw"), F.col(text_col).alias("__text"))
+    rows = materialize(body.mapInArrow(prints_of, f"__id {id_type}, __raw bigint, key string, fp bigint"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__raw")).alias("m")
+    texts = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), first).select("key", "fp", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r")))
+    links = components(near_links(texts.select("fp").distinct(), radius))
+    rooted = texts.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("root") + 1).alias("r1"))
+    maybe = rooted.join(several, rooted["root"] + 1 == several["r1"], "left_semi")
+    bodies = maybe.join(body, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw"))).select("root", "fp", "key", "__text")
+    sets = materialize(bodies.mapInArrow(sets_of, "root bigint, fp bigint, key string, shingles binary"))
+    size = sets.groupBy("root").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
+    wide = materialize(size.filter(F.col("bytes") > group_bytes).select((F.col("root") + 1).alias("r1")))
+    apply = lambda df, by: df.groupBy(by).applyInArrow(_verified(threshold), "a string, b string")
+    if wide.isEmpty():
+        joined = apply(sets.select("root", "key", "shingles"), "root")
+    else:
+        joined = apply(sets.join(wide, sets["root"] + 1 == wide["r1"], "left_anti").select("root", "key", "shingles"), "root")
+        large = sets.join(wide, sets["root"] + 1 == wide["r1"], "left_semi").select("fp", F.col("key").alias("text"), "shingles")
+        inside = split_keys(in_tables(large, radius), radius, 0).select(F.col("key").alias("root"), F.col("text").alias("key"), "shingles")
+        joined = joined.unionAll(apply(inside, "root"))
+    groups = materialize(components(joined).select(F.col("node").alias("k2"), "root"))
+    discard(sets, texts, wide)
+    return rows.join(groups, rows["key"] == groups["k2"], "left").select("__id", "__raw", F.coalesce("root", "key").alias("__group"))
+
+
 def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
