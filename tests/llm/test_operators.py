@@ -109,6 +109,13 @@ def test_covering_masks_leave_out_any_three_bits():
     masks = simhash.covering_masks(3)
     assert len(masks) == 15
     assert all(any(not m & (1 << a | 1 << b | 1 << c) for m in masks) for a, b, c in combinations(range(64), 3))
+    rng = np.random.default_rng(2)
+    for radius, least in ((3, 32), (5, 32), (7, 22)):
+        masks = simhash.covering_masks(radius)
+        assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= least
+        for _ in range(500):
+            x = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            assert any(not m & x for m in masks)
 
 
 @pytest.mark.parametrize("hot", [4096, 2])

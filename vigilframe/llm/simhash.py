@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,27 @@ def with_fingerprint(docs: DataFrame, columns: list[str], text_col: str = "text"
     return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, f"{schema}, __fp bigint")
 
 
-def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
+@lru_cache
+def covering_masks(radius: int = 3, bits: int = 64) -> tuple[int, ...]:
     """2^(radius+1) - 1 masks such that any `radius` bits are all outside some mask.
 
-    Bit i gets a vector of radius+1 bits, the non-zero ones in turn; mask v keeps the bits whose vector has an odd
-    inner product with v. The vectors of the differing bits span at most `radius` dimensions, so a non-zero v is
-    orthogonal to all of them, and that mask leaves all those bits out.
+    Bit i gets a non-zero vector of radius+1 bits; mask v keeps the bits whose vector has an odd inner product with v. The
+    vectors of the differing bits span at most `radius` dimensions, so a non-zero v is orthogonal to all of them, and that
+    mask leaves all those bits out. Which vectors does not matter for that; but each mask should keep about half of the
+    bits. All non-zero vectors in turn do that; where there are more of them than bits, the best of some seeded draws is
+    taken, by the number of bits that the smallest mask keeps.
     """
     n = (1 << (radius + 1)) - 1
-    vector = [i % n + 1 for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() & 1) for v in range(1, n + 1)]
+    tries = [[i % n + 1 for i in range(bits)]]
+    if n > bits:
+        rng = np.random.default_rng(0)
+        tries = [(rng.permutation(n)[:bits] + 1).tolist() for _ in range(300)]
+
+    def masks(vector: list[int]) -> tuple[int, ...]:
+        odd = np.bitwise_count(np.arange(1, n + 1)[:, None] & np.array(vector)[None, :]) & 1
+        return tuple(sum(1 << i for i in np.flatnonzero(row).tolist()) for row in odd)
+
+    return max((masks(v) for v in tries), key=lambda m: min(x.bit_count() for x in m))
 
 
 def _signed(x: int) -> int:
