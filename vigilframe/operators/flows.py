@@ -33,7 +33,7 @@ def gap_sessions(df: DataFrame, keys: list[str], order: list[str], gap_us: Colum
     return df.withColumn("session", F.sum(F.when(gap > gap_us, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def flow_timeout_us(hour_scale: int = 3600) -> Column:
+def flow_timeout_us(hour_scale: int = 1) -> Column:
     """Idle time that ends a flow, by protocol: TCP 300 s, UDP 180 s, ICMP 30 s, times a scale for sparse data."""
     s = F.when(F.col("proto") == 6, 300).when(F.col("proto") == 17, 180).otherwise(30)
     return s.cast("long") * hour_scale * 1_000_000
@@ -96,6 +96,46 @@ def tcp_state(packets: DataFrame, keys: list[str]) -> DataFrame:
     return gathered.select(*keys, F.aggregate("p", F.lit("new"), fold).alias("state"))
 
 
+#: The TCP states of directed_tcp_state, by number.
+TCP_STATES = ("new", "syn_sent", "syn_received", "established", "fin_wait_1", "fin_wait_2", "closing", "time_wait", "closed", "reset")
+
+
+def directed_tcp_state(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Connection state of each key by an ordered fold over its packets and their direction; forward is the first packet's.
+
+    A connection that begins without a SYN was picked up midway and is established. Only an answering SYN-ACK and then a
+    forward ACK complete a handshake. Reset and closed connections stay so. The packets of one key are gathered as small
+    numbers: a connection is bounded by its timeout, so callers key by session.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "packet_id")
+    code = F.col("flags") * 2 + (F.col("src_num") == F.first("src_num").over(w)).cast("int")
+    step = F.struct("ts", "packet_id", F.col("code"))
+    gathered = packets.withColumn("code", code).groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("p"))
+
+    def fold(state: Column, p: Column) -> Column:
+        flags, forward = F.shiftright(p["code"], 1), p["code"] % 2 == 1
+        bit = lambda b: flags.bitwiseAND(F.lit(b)) != 0
+        syn, syn_ack, rst, fin, ack = bit(SYN) & ~bit(ACK), bit(SYN) & bit(ACK), bit(RST), bit(FIN), bit(ACK)
+
+        def on(*cases: tuple[Column, int]) -> Column:
+            out = state
+            for test, to in reversed(cases):
+                out = F.when(test, F.lit(to)).otherwise(out)
+            return out
+
+        moves = {
+            0: F.when(syn, 1).otherwise(3), 1: on((syn_ack & ~forward, 2), (rst, 9)), 2: on((ack & forward, 3), (rst, 9)), 3: on((rst, 9), (fin, 4)),
+            4: on((fin & ack, 7), (fin, 6), (ack, 5), (rst, 9)), 5: on((fin, 7), (rst, 9)), 6: on((ack, 7), (rst, 9)), 7: on((rst, 9)),
+        }
+        out = state
+        for at, to in moves.items():
+            out = F.when(state == at, to).otherwise(out)
+        return out
+
+    names = F.array(*[F.lit(x) for x in TCP_STATES])
+    return gathered.select(*keys, F.element_at(names, F.aggregate("p", F.lit(0), fold) + 1).alias("state"))
+
+
 def entropy(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Shannon entropy in bits of `value` inside each key: counts first, then one sum."""
     n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))

@@ -266,13 +266,13 @@ def direction_lag(spark, sf):
 @register("E06_tcp_states")
 def tcp_states(spark, sf):
     p = X.with_flow_key(T.packets(spark, sf)).filter("proto = 6")
-    p = X.gap_sessions(p, X.FLOW_KEY, ["ts", "packet_id"], X.flow_timeout_us())
+    p = X.gap_sessions(p, X.FLOW_KEY, ["ts", "packet_id"], X.flow_timeout_us(3600))
     return X.tcp_state(p, [*X.FLOW_KEY, "session"])
 
 
 @register("I06_flow_timeouts", f"WITH {KEYED}, g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {K} ORDER BY ts, packet_id) AS gap FROM fl), s AS (SELECT *, sum(CASE WHEN gap > CASE proto WHEN 6 THEN 300 WHEN 17 THEN 180 ELSE 30 END * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY ts, packet_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT {K}, CAST(session AS BIGINT) AS session, count(*) AS packets FROM s GROUP BY {K}, session")
 def flow_timeouts(spark, sf):
-    p = X.gap_sessions(X.with_flow_key(T.packets(spark, sf)), X.FLOW_KEY, ["ts", "packet_id"], X.flow_timeout_us())
+    p = X.gap_sessions(X.with_flow_key(T.packets(spark, sf)), X.FLOW_KEY, ["ts", "packet_id"], X.flow_timeout_us(3600))
     return p.groupBy(*X.FLOW_KEY, "session").agg(F.count(F.lit(1)).alias("packets"))
 
 
