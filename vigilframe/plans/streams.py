@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
+from ..sources.scratch import folder
 from ..streaming import jobs as J
 from .registry import register
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-")
-    return f"{base.rstrip('/')}/s-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/s-{uuid.uuid4().hex}"
 
 
 @register("I54_stream_windows", f"WITH {T.DETECTIONS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM det GROUP BY 1, 2")
