@@ -77,3 +77,14 @@ def test_other_queries_run(spark, sf):
     names = set(registry.queries()) - set(registry.oracle_sql())
     for n in sorted(names):
         assert registry.queries()[n](spark, sf).count() > 0 or n in {"I02_port_scan_ban"}, n
+
+
+def test_null_keys_and_large_numbers(spark):
+    from vigilframe.operators import stateful as S
+
+    big = (1 << 60) + 1
+    rows = [(None, i, big if i % 2 else None, i) for i in range(6)] + [(5, 0, big, 9)]
+    df = spark.createDataFrame(rows, "k long, us long, v long, event_id long")
+    got = S.fold(df, ["k"], lambda: S.FixedWindow(3, 100)).collect()
+    assert sum(r["fired"] for r in got if r["k"] is None) == 4
+    assert sorted(r["v"] for r in got if r["v"] is not None) == [big] * 4

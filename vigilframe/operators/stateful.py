@@ -5,32 +5,37 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], object], out: str, out_type: str) -> DataFrame:
     """Adds `out`, what step(state, row) returns for each row of a key in order.
 
     Rows are hashed by key and sorted, and the state is carried from batch to batch: memory holds one key's state, not
-    its rows, so a key of any size streams through.
+    its rows, so a key of any size streams through. Values stay what Arrow holds: null keys are one key, and whole
+    numbers beside nulls stay whole.
     """
     names = df.columns
+    at_key = [names.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), None
         for batch in batches:
-            got = []
-            for row in batch.to_dict("records"):
-                key = tuple(row[k] for k in keys)
+            got, columns = [], [c.to_pylist() for c in batch.columns]
+            for values in zip(*columns, strict=True):
+                key = tuple(values[i] for i in at_key)
                 if key != at:
                     at, state = key, start()
-                got.append(step(state, row))
-            yield batch.assign(**{out: got})
+                got.append(step(state, dict(zip(names, values, strict=True))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, type=arrow_type)], names=[*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{schema}, {out} {out_type}").select(*names, out)
+    schema = StructType([*df.schema.fields, StructField(out, DataType.fromDDL(out_type))])
+    arrow_type = to_arrow_type(schema[-1].dataType)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).select(*names, out)
 
 
 class FindTime:

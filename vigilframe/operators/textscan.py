@@ -36,6 +36,23 @@ def match_list(text: Column, patterns: list[tuple[str, str, str, str]]) -> Colum
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+#: Actions of pattern files under this library's names.
+FILE_ACTIONS = {"Drop": "block", "Block": "block", "RateLimit": "rate_limit", "Alert": "alert", "Log": "log"}
+
+
+def pattern_list(table: DataFrame) -> list[tuple[str, str, str, str]]:
+    """A table of categories as match_list takes it: literals and expressions of a category are one alternation, case ignored.
+
+    The table is configuration of some hundred patterns; the driver reads it whole, by category.
+    """
+    out = []
+    for r in sorted(table.collect(), key=lambda r: r["category"]):
+        parts = [rf"\Q{p.lower()}\E" for p in r["patterns"]] + [f"(?:{p})" for p in r["regex"]]
+        if parts:
+            out.append((r["category"], r["severity"], FILE_ACTIONS.get(r["action"], "log"), "(?i)" + "|".join(parts)))
+    return out
+
+
 def threat_score(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda s, x: s + x["score"])
 

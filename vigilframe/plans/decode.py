@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wire as W
 from ..operators import rules as R
+from ..operators import textscan as S
 from ..sources import feeds
 from ..sources import tables as T
 from ..sources.scratch import as_text
@@ -116,6 +117,24 @@ def classifications(spark, sf):
     return feeds.classifications(spark, as_text(T.table(spark, sf, "nation").select(text("config classification: class-", n, ",", F.col("n_name"), ",", n % 4 + 1).alias("value"))))
 
 
+PATTERN_FILE = """{"version": "1", "patterns": {
+ "path_traversal": {"severity": "Critical", "action": "Drop", "description": "", "patterns": ["../", "/etc/passwd"], "regex": ["(%2e%2e/){2,}"]},
+ "languages": {"severity": "High", "action": "RateLimit", "description": "", "patterns": ["/DE/", "/fr/"], "regex": []},
+ "paging": {"severity": "Low", "action": "Log", "description": "", "patterns": ["[page]"], "regex": ["page=[13579]+", "ref=[a-m]"]}}}"""
+FOUND = r"""[CASE WHEN regexp_matches(lower(url), '/de/|/fr/') THEN {'c': 'languages', 's': 10, 'p': 3} END, CASE WHEN regexp_matches(lower(url), '\[page\]|page=[13579]+|ref=[a-m]') THEN {'c': 'paging', 's': 1, 'p': 1} END,
+ CASE WHEN regexp_matches(lower(url), '\.\./|/etc/passwd|(%2e%2e/){2,}') THEN {'c': 'path_traversal', 's': 20, 'p': 4} END]"""
+
+
+@register("H46_pattern_file", f"""WITH h AS (SELECT page_id, list_filter({FOUND}, lambda x: x IS NOT NULL) AS hits FROM pages) SELECT page_id, array_to_string(list_transform(hits, lambda x: x.c), ',') AS categories,
+ CAST(coalesce(list_sum(list_transform(hits, lambda x: x.s)), 0) AS INTEGER) AS score, CASE list_max(list_transform(hits, lambda x: x.p)) WHEN 4 THEN 'block' WHEN 3 THEN 'rate_limit' WHEN 2 THEN 'alert' WHEN 1 THEN 'log' END AS action FROM h""")
+def pattern_file(spark, sf):
+    """Rows H46, H48 and H49 with a pattern file."""
+    path = as_text(spark.createDataFrame([(PATTERN_FILE,)], "value string").coalesce(1))
+    hits = S.match_list(F.col("url"), S.pattern_list(feeds.http_patterns(spark, path)))
+    h = T.table(spark, sf, "pages").select("page_id", hits.alias("h"))
+    return h.select("page_id", F.array_join(F.transform("h", lambda x: x["category"]), ",").alias("categories"), S.threat_score(F.col("h")).alias("score"), S.recommended_action(F.col("h")).alias("action"))
+
+
 def rule_lines(spark, sf):
     body = text('alert tcp $HOME any -> any ', k() % 1000, ' (msg:"rule ', k(), '; x"; content:"GET|20|/', k(), '"; nocase; offset:', k() % 9, '; depth:40; content:!"ok"; fast_pattern; threshold:type limit, track by_src, count ', k() % 5 + 1, ', seconds 60; classtype:web; sid:', k(), "; rev:", k() % 3 + 1, ";)")
     return customers(spark, sf).select(F.when(k() % 10 == 0, "# comment").otherwise(body).alias("value"))

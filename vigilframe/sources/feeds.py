@@ -118,3 +118,13 @@ def classifications(spark: SparkSession, path: str) -> DataFrame:
     p = r"^config classification:\s*([^,]+),([^,]+),\s*(\d+)"
     df = spark.read.text(path).filter(F.col("value").rlike(p))
     return df.select(*[F.trim(F.regexp_extract("value", p, i)).alias(n) for i, n in ((1, "classtype"), (2, "description"))], F.regexp_extract("value", p, 3).cast("int").alias("priority"))
+
+
+HTTP_FILE = "patterns map<string, struct<severity: string, action: string, description: string, patterns: array<string>, regex: array<string>>>"
+
+
+def http_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """category, severity, action, patterns, regex: one row per category of a JSON file of HTTP attack patterns."""
+    df = spark.read.schema(HTTP_FILE).option("multiLine", True).json(path).select(F.explode("patterns").alias("category", "p"))
+    none = F.array().cast("array<string>")
+    return df.select("category", F.lower("p.severity").alias("severity"), "p.action", F.coalesce("p.patterns", none).alias("patterns"), F.coalesce("p.regex", none).alias("regex"))
