@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, shuffle_parts
 from .components import components
@@ -75,10 +76,6 @@ def covering_masks(radius: int = 3, bits: int = 64) -> tuple[int, ...]:
     return max((masks(v) for v in tries), key=lambda m: min(x.bit_count() for x in m))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph that joins distinct prints at `radius` bits or fewer.
 
@@ -163,10 +160,27 @@ def _whole(key: np.ndarray, fp: np.ndarray, hot: int | None, found, big: list[in
         yield pa.RecordBatch.from_arrays([pa.array(big, pa.int64()), pa.array(big, pa.int64()), pa.array([True] * len(big))], names=["a", "b", "large"])
 
 
-def in_tables(prints: DataFrame, radius: int) -> DataFrame:
+def _table_keys(prints: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """A bucket key for each print (rows) and mask (columns): the kept bits and the mask's number, mixed."""
+    h = (prints[:, None] & masks[None, :]) + np.arange(1, len(masks) + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def in_tables(prints: DataFrame, radius: int, rows_at_once: int = 1000) -> DataFrame:
     """key for each covering mask beside all columns of prints(fp, ...): two prints within the radius share a key at least once."""
-    masks = [_signed(m) for m in covering_masks(radius)]
-    return prints.select("*", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])).alias("key"))
+    masks = np.array(covering_masks(radius), dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                keys = _table_keys(part.column("fp").to_numpy().view(np.uint64), masks)
+                wide = part.take(pa.array(np.repeat(np.arange(part.num_rows), len(masks))))
+                yield pa.RecordBatch.from_arrays([*wide.columns, pa.array(keys.ravel().view(np.int64))], names=[*part.schema.names, "key"])
+
+    return prints.mapInArrow(run, StructType([*prints.schema.fields, StructField("key", LongType())]))
 
 
 def split_keys(keys: DataFrame, radius: int, level: int) -> DataFrame:
@@ -312,7 +326,7 @@ def near_copies(
     else:
         joined = apply(sets.join(wide, sets["root"] + 1 == wide["r1"], "left_anti").select("root", "key", "shingles"), "root")
         large = sets.join(wide, sets["root"] + 1 == wide["r1"], "left_semi").select("fp", F.col("key").alias("text"), "shingles")
-        inside = split_keys(in_tables(large, radius), radius, 0).select(F.col("key").alias("root"), F.col("text").alias("key"), "shingles")
+        inside = split_keys(in_tables(large, radius, 8), radius, 0).select(F.col("key").alias("root"), F.col("text").alias("key"), "shingles")
         joined = joined.unionAll(apply(inside, "root"))
     groups = materialize(components(joined).select(F.col("node").alias("k2"), "root"))
     discard(sets, texts, wide)
