@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Lets driver and its JVM drop the plans, generated classes and buffers of finished jobs, before an operator of many short jobs adds its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch with at most `most` bytes of `column` each, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, relieve
 
 
 def _hub(pairs: DataFrame, key: str, low: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round writes its stars to the shared folder, so the plan stays short and a lost executor costs a reread. The
     number of rounds grows with the logarithm of the longest path.
     """
+    relieve(edges.sparkSession)
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):

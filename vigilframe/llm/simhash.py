@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, shuffle_parts
+from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, relieve, shuffle_parts
 from .components import components
 
 
@@ -289,6 +289,7 @@ def near_copies(
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    relieve(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
