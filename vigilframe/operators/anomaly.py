@@ -33,6 +33,40 @@ def profile(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*out)
 
 
+def at_ranks(df: DataFrame, col: str, ranks: list[int], slots: int = 1000) -> list[float | None]:
+    """The exact values at 0-based ranks of a column in order, nulls left out; null beyond its end. Nothing is sorted.
+
+    Each pass counts the rows of the ranges that still hold a wanted rank in `slots` equal parts and keeps the part that
+    has it, until all values of a part are equal. The driver sees `slots` + 1 counts a rank and pass.
+    """
+    c = F.col(col).cast("double")
+    df = df.filter(c.isNotNull()).select(c.alias("x"))
+    whole = df.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    out: list[float | None] = [None] * len(ranks)
+    open_ = {i: (whole["lo"], whole["hi"], r) for i, r in enumerate(ranks) if 0 <= r < whole["n"]}
+    while open_:
+        for i in [i for i, (lo, hi, _) in open_.items() if lo == hi]:
+            out[i] = open_.pop(i)[0]
+        if not open_:
+            break
+        slot = lambda lo, hi: F.floor((F.col("x") - lo) / (hi - lo) * slots)
+        inside = F.array(*[F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("i"), slot(lo, hi).alias("s"))) for i, (lo, hi, _) in open_.items()])
+        counts = df.select("x", F.inline(F.array_compact(inside))).groupBy("i", "s").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: (r["i"], r["s"])):
+            if r["i"] in open_ and len(open_[r["i"]]) == 3:
+                lo, hi, rest = open_[r["i"]]
+                open_[r["i"]] = (r["lo"], r["hi"], rest, True) if rest < r["n"] else (lo, hi, rest - r["n"])
+        open_ = {i: v[:3] for i, v in open_.items()}
+    return out
+
+
+def median(df: DataFrame, col: str) -> float | None:
+    """The exact median; the mean of the middle two where the count is even, null without values."""
+    n = df.filter(F.col(col).isNotNull()).count()
+    low, high = at_ranks(df, col, [(n - 1) // 2, n // 2]) if n else (None, None)
+    return None if low is None else (low + high) / 2
+
+
 def squash(x: Column, scale: float) -> Column:
     """min(x / scale, 1)."""
     return F.least(x / scale, F.lit(1.0))
@@ -96,7 +130,7 @@ class IsolationForest:
         rng = np.random.default_rng(seed)
         self.size = min(sample, len(x))
         depth = int(np.ceil(np.log2(max(2, self.size))))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=True)], depth, rng) for _ in range(trees)]
+        self.trees = [self._flat(self._grow(x[rng.choice(len(x), self.size, replace=True)], depth, rng)) for _ in range(trees)]
 
     @staticmethod
     def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[int, float, int, int, float]]:
@@ -116,17 +150,22 @@ class IsolationForest:
         add(x, 0)
         return nodes
 
+    @staticmethod
+    def _flat(nodes: list[tuple[int, float, int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """feature, cut, children (below, not below) and path length of each node; leaves are their own children."""
+        leaf = np.array([f < 0 for f, *_ in nodes])
+        feature, cut = np.array([max(f, 0) for f, *_ in nodes]), np.array([c for _, c, *_ in nodes])
+        child = np.array([[i, i] if leaf[i] else [lo, hi] for i, (_, _, lo, hi, _) in enumerate(nodes)])
+        depth = np.zeros(len(nodes))
+        for i in np.flatnonzero(~leaf):  # parents come before their children
+            depth[child[i]] = depth[i] + 1
+        return feature, cut, child.ravel(), depth + np.array([r for *_, r in nodes]), int(depth.max())
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for nodes in self.trees:
-            feature, cut, left, right, rest = (np.array(v) for v in zip(*nodes, strict=True))
-            at, live = np.zeros(len(x), dtype=np.int64), np.ones(len(x), dtype=bool)
-            while live.any():
-                inner = feature[at] >= 0
-                live = inner
-                total += live
-                rows = np.flatnonzero(live)
-                go = x[rows, feature[at[rows]]] < cut[at[rows]]
-                at[rows] = np.where(go, left[at[rows]], right[at[rows]])
-            total += rest[at]
+        total, rows = np.zeros(len(x)), np.arange(len(x))
+        for feature, cut, child, length, depth in self.trees:
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range(depth):
+                at = child[2 * at + (x[rows, feature[at]] >= cut[at])]
+            total += length[at]
         return 2 ** (-(total / len(self.trees)) / max(path_norm(self.size), 1e-9))

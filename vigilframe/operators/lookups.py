@@ -59,17 +59,22 @@ def suffix_join(df: DataFrame, host: str, table: DataFrame, domain: str, key: st
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, within_us: int) -> DataFrame:
-    """For each left row the right row of the same keys that is nearest in time, at most within_us away.
+    """Each left row with the right row of the same keys that is nearest in time, at most within_us away, and their distance.
 
-    Time is cut into slices as long as the tolerance. A left row probes its own slice and both neighbours, so the range
-    join becomes an equi join; the nearest is kept by an aggregation on the left row's id. left has `us`, right has `us`.
+    Both sides have `us`. Time is cut into slices as long as the tolerance; a right row goes to its own slice and both
+    neighbours, a left row to its own. One pass in each direction of time then carries the last right row seen along, so
+    the work is linear in the rows of a slice, no pairs arise, and a hot key is split by time. Of equally near rows the
+    earlier stays, then the smaller right_id. Rows with a null key or time find nothing.
     """
     cut = lambda c: F.floor(c / within_us)
-    r = right.select(*keys, F.col("us").alias("r_us"), right_id, cut(F.col("us")).alias("slot"))
-    probe = left.select(*keys, left_id, "us", F.explode(F.array(*[cut(F.col("us")) + i for i in (-1, 0, 1)])).alias("slot"))
-    hit = probe.join(r, [*keys, "slot"]).withColumn("dist", F.abs(F.col("us") - F.col("r_us"))).filter(F.col("dist") <= within_us)
-    best = hit.groupBy(left_id).agg(F.min(F.struct("dist", "r_us", right_id)).alias("b")).select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.dist").alias("dist"))
-    return left.join(best, left_id, "left")
+    r = right.dropna(subset=[*keys, "us"]).select(*keys, "us", F.struct(F.col("us").alias("us"), F.col(right_id).alias("id")).alias("__r"), F.explode(F.array(*[cut(F.col("us")) + i for i in (-1, 0, 1)])).alias("__slot"))
+    both = left.withColumns({"__left": F.lit(True), "__slot": cut(F.col("us"))}).unionByName(r, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "__slot").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lambda order: F.last("__r", ignorenulls=True).over(part.orderBy(order, F.asc_nulls_first("__left"), F.desc("__r.id")))
+    near = both.withColumns({"__before": seen(F.asc("us")), "__after": seen(F.desc("us"))}).filter("__left")
+    dist = lambda c: F.abs(F.col("us") - F.col(f"{c}.us"))
+    found = F.array_min(F.array_compact(F.array(*[F.when(dist(c) <= within_us, F.struct(dist(c).alias("dist"), F.col(f"{c}.us").alias("us"), F.col(f"{c}.id").alias("id"))) for c in ("__before", "__after")])))
+    return near.withColumn("__b", found).select(*left.columns, F.col("__b.id").alias(right_id), F.col("__b.dist").alias("dist"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -79,6 +79,58 @@ def port_predicate(spec: Column, port: Column) -> Column:
     return (spec == "any") | F.when(spec.startswith("!"), ~inside).otherwise(inside)
 
 
+def port_blocks(spec: Column) -> Column:
+    """A port spec as aligned blocks of powers of two, structs (port_bits, port_lo), without overlap: 32 an interval at most.
+
+    any, a port, a range a:b, a list [..], or the negation of one; intervals of a list are merged by their distinct blocks.
+    """
+    body = F.regexp_replace(spec, r"^!|[\[\]]", "")
+    bound = lambda p, i, default: F.coalesce(F.split_part(p, F.lit(":"), F.lit(i)).try_cast("int"), F.lit(default))
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    listed = F.transform(F.split(body, ","), lambda p: F.when(F.trim(p).contains(":"), span(bound(F.trim(p), 1, 0), bound(F.trim(p), 2, 65535))).when(F.trim(p).try_cast("int").isNotNull(), span(F.trim(p).try_cast("int"), F.trim(p).try_cast("int"))))
+    ordered = F.array_sort(F.filter(listed, lambda p: p.isNotNull() & (p["lo"] <= p["hi"])))
+    # gaps between the intervals: where each begins, and what no earlier one reaches
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("gaps"), F.array().cast("array<struct<lo:int,hi:int>>").alias("kept"))
+    step = lambda s, p: F.struct(
+        F.greatest(s["at"], p["hi"] + 1).alias("at"), F.when(p["lo"] > s["at"], F.concat(s["gaps"], F.array(span(s["at"], p["lo"] - 1)))).otherwise(s["gaps"]).alias("gaps"),
+        F.when(p["hi"] >= s["at"], F.concat(s["kept"], F.array(span(F.greatest(s["at"], p["lo"]), p["hi"])))).otherwise(s["kept"]).alias("kept"))
+    swept = F.aggregate(ordered, start, step)
+    rest = F.when(swept["at"] <= 65535, F.concat(swept["gaps"], F.array(span(swept["at"], F.lit(65535))))).otherwise(swept["gaps"])
+    spans = F.when(spec == "any", F.array(span(F.lit(0), F.lit(65535)))).when(spec.startswith("!"), rest).otherwise(swept["kept"])
+
+    def blocks(p: Column) -> Column:
+        def level(k: Column) -> Column:
+            size = F.pow(F.lit(2.0), k).cast("int")
+            first, end = F.floor((p["lo"] + size - 1) / size).cast("int"), F.floor((p["hi"] + 1) / size).cast("int")
+            some = first < end
+            one = lambda at: F.struct(k.alias("port_bits"), (at * size).alias("port_lo"))
+            return F.array_compact(F.array(F.when(some & (first % 2 == 1), one(first)), F.when(some & (end % 2 == 1), one(end - 1))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(16)), level))
+
+    return F.flatten(F.transform(spans, blocks))
+
+
+def header_join(packets: DataFrame, headers: DataFrame, src: str, port: str) -> DataFrame:
+    """packets with the sid of each rule header that they match: protocol, source network and destination port, by one equi join.
+
+    headers has sid, proto, prefix, lo (networks as of cidr_bounds) and spec (a port spec). A port spec becomes aligned
+    blocks, a network is one by nature. A packet looks up one key for each pair of prefix and block length that occurs
+    among the rules; the driver sees those pairs, 33 x 17 at most, not the rules. Each match is found once.
+    """
+    from .lookups import block_size
+
+    table = headers.select("sid", "proto", "prefix", F.col("lo").alias("net_lo"), F.inline(port_blocks(F.col("spec"))))
+    shapes = sorted(tuple(r) for r in table.select("prefix", "port_bits").distinct().collect())  # 561 rows at most
+    if not shapes:
+        return packets.join(table.select("proto", "sid"), "proto").select(*packets.columns, "sid")
+    size, unit = block_size(F.col("prefix")), F.pow(F.lit(2.0), F.col("port_bits")).cast("int")
+    lengths = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(b).alias("port_bits")) for p, b in shapes])
+    probe = packets.select("*", F.inline(lengths))
+    probe = probe.withColumns({"net_lo": F.col(src) - F.col(src) % size, "port_lo": F.col(port) - F.col(port) % unit})
+    return probe.join(table, ["proto", "prefix", "port_bits", "net_lo", "port_lo"]).select(*packets.columns, "sid")
+
+
 def fast_pattern(contents: Column) -> Column:
     """The explicit fast pattern, else the longest positive content; lower-cased, null below SHORTEST characters."""
     plain = F.filter(contents, lambda c: ~c["negated"])

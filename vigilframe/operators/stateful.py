@@ -187,6 +187,21 @@ def range_window(keys: list[str], window_us: int, current: bool = True):
     return Window.partitionBy(*keys).orderBy("us").rangeBetween(-window_us, 0 if current else -1)
 
 
+def distinct_in_window(df: DataFrame, keys: list[str], value: str, window_us: int, name: str) -> DataFrame:
+    """df with the number of distinct non-null values of its key in the window_us up to each row, its own time included.
+
+    A value counts from its row until the window has passed it or the same value comes again. Those starts and ends are
+    summed in order of time, so no frame gathers a set and the work is linear.
+    """
+    again = F.lead("us").over(Window.partitionBy(*keys, value).orderBy("us"))
+    end = F.least(F.col("us") + window_us + 1, F.coalesce(again, F.col("us") + window_us + 1))
+    counted = F.col(value).isNotNull().cast("long")
+    steps = F.array(F.struct(F.col("us").alias("__at"), counted.alias("__d"), F.lit(True).alias("__row")), F.struct(F.col("__end").alias("__at"), (-counted).alias("__d"), F.lit(False).alias("__row")))
+    both = df.withColumn("__end", end).select(*df.columns, F.inline(steps))
+    total = F.sum("__d").over(Window.partitionBy(*keys).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(name, total).filter("__row").select(*df.columns, name)
+
+
 def gap_buckets(df: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """bucket and place of each row among its key's runs of events no more than gap_us apart."""
     w = Window.partitionBy(*keys).orderBy("us", "event_id")

@@ -176,7 +176,7 @@ def sliding_failures(spark, sf):
 
 @register("I26_mass_mailer", f"WITH {D} SELECT event_id, len(list_distinct(list(port) OVER (PARTITION BY src ORDER BY epoch_us(ts) RANGE BETWEEN {96 * H} PRECEDING AND CURRENT ROW))) AS rcpts FROM det")
 def mass_mailer(spark, sf):
-    return det(spark, sf).select("event_id", F.size(F.collect_set("port").over(S.range_window(["src"], 96 * H))).cast("long").alias("rcpts"))
+    return S.distinct_in_window(det(spark, sf).select("event_id", "src", "us", "port"), ["src"], "port", 96 * H, "rcpts").select("event_id", "rcpts")
 
 
 @register("I28_arp_changes", f"WITH {D}, l AS (SELECT event_id, src, ts, port % 4 <> lag(port % 4) OVER (PARTITION BY src ORDER BY ts, event_id) AS ch FROM det) SELECT event_id, CAST(sum(CASE WHEN ch THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS changes FROM l")

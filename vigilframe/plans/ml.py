@@ -36,20 +36,10 @@ QUART = "r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extend
 
 
 def quartiles(li):
-    """Exact nearest-rank quartiles of one column without sorting it in one task: values are counted in ranges first."""
-    lo_hi = li.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, width, n = lo_hi["lo"], max(1e-9, (lo_hi["hi"] - lo_hi["lo"]) / 1000), lo_hi["n"]
-    slot = F.floor((F.col("l_extendedprice") - lo) / width)
-    counts = dict(sorted((r[0], r[1]) for r in li.groupBy(slot.alias("s")).count().collect()))  # 1001 slots at most
-    want, before = {}, 0
-    for s, c in counts.items():
-        for name, at in (("q1", n // 4), ("q2", n // 2), ("q3", 3 * n // 4)):
-            if before <= at < before + c:
-                want[name] = (s, at - before)
-        before += c
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("l_extendedprice")) - 1
-    some = li.select("l_extendedprice", slot.alias("s")).filter(F.col("s").isin([s for s, _ in want.values()])).withColumn("i", rank)
-    return some.agg(*[F.max(F.when((F.col("s") == s) & (F.col("i") == i), F.col("l_extendedprice"))).alias(k) for k, (s, i) in want.items()])
+    """Exact nearest-rank quartiles of one column."""
+    n = li.filter("l_extendedprice IS NOT NULL").count()
+    values = A.at_ranks(li, "l_extendedprice", [n // 4, n // 2, 3 * n // 4])
+    return li.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in zip(("q1", "q2", "q3"), values, strict=True)])
 
 
 @register("D37_statistical_fit", f"WITH {QUART}, {BASE} SELECT round(pm, 4) AS mean, round(ps, 4) AS std, q1, q2, q3 FROM q, b")
@@ -219,14 +209,15 @@ def isolation_forest(spark, sf):
     return li.select("l_orderkey", "l_linenumber", score(*cols).alias("score"))
 
 
-@register("I49_reservoir")
+@register("I49_reservoir", f"WITH {D} SELECT event_id, src FROM det ORDER BY md5(event_id || ':7'), event_id LIMIT 500")
 def reservoir(spark, sf):
     """A fixed-size uniform sample: the rows of the smallest hashes, one bounded heap per task."""
-    return T.detections(spark, sf).orderBy(F.xxhash64("event_id", F.lit(7)), "event_id").limit(500).select("event_id", "src")
+    return T.detections(spark, sf).orderBy(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":7")).cast("binary")), "event_id").limit(500).select("event_id", "src")
 
 
-@register("I50_prioritised")
+@register("I50_prioritised", f"WITH {D} SELECT event_id, severity FROM det ORDER BY -ln((CAST('0x' || substr(md5(event_id || ':3'), 1, 10) AS BIGINT) + 0.5::DOUBLE) / 1099511627776) / (severity + 1), event_id LIMIT 500")
 def prioritised(spark, sf):
     """A weighted sample without replacement: the smallest exponential draws by weight."""
-    u = (F.pmod(F.xxhash64("event_id", F.lit(3)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    word = F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":3")).cast("binary")), 1, 10)
+    u = (F.conv(word, 16, 10).cast("long") + 0.5) / (1 << 40)
     return T.detections(spark, sf).orderBy(-F.log(u) / (F.col("severity") + 1), "event_id").limit(500).select("event_id", "severity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flows as X
 from ..operators import window_vector as V
+from ..operators.stateful import distinct_in_window
 from ..sources import tables as T
 from .registry import register
 
@@ -305,9 +306,9 @@ def nxdomain_ratio(spark, sf):
 
 @register("I21_port_hopping", f"WITH {P}, d AS (SELECT packet_id, user_id, ts, dst_port FROM pkt), w AS (SELECT packet_id, len(list_distinct(list(dst_port) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW))) AS ports FROM d) SELECT packet_id, ports, ports >= 5 AS hopping FROM w")
 def port_hopping(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-172_800_000_000, 0)
-    p = T.packets(spark, sf).withColumn("us", F.unix_micros("ts")).withColumn("ports", F.size(F.collect_set("dst_port").over(w)).cast("long"))
-    return p.select("packet_id", "ports", (F.col("ports") >= 5).alias("hopping"))
+    p = T.packets(spark, sf).select("packet_id", "user_id", "dst_port", F.unix_micros("ts").alias("us"))
+    n = distinct_in_window(p, ["user_id"], "dst_port", 172_800_000_000, "ports")
+    return n.select("packet_id", "ports", (F.col("ports") >= 5).alias("hopping"))
 
 
 @register("I35_synack_reflection", f"WITH {P} SELECT dst_num, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM pkt WHERE flags & 18 = 18 GROUP BY 1, 2 HAVING count(*) >= 2")

@@ -129,8 +129,8 @@ def smtp_alerts(spark, sf):
 
 @register("I27_open_relay", "SELECT conv_id, bool_and(role <> 'user' OR length(text) > 50) AND count(*) > 1 AS relay FROM conversations GROUP BY 1")
 def open_relay(spark, sf):
-    m = T.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.length("text").alias("n"))).alias("r"))
-    return m.select("conv_id", (F.forall("r", lambda x: (x["role"] != "user") | (x["n"] > 50)) & (F.size("r") > 1)).alias("relay"))
+    fine = F.bool_and((F.col("role") != "user") | (F.length("text") > 50))
+    return T.table(spark, sf, "conversations").groupBy("conv_id").agg((fine & (F.count(F.lit(1)) > 1)).alias("relay"))
 
 
 SRC = "a AS (SELECT src, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, count(DISTINCT port) AS names, max(value) AS top FROM det GROUP BY 1)"
@@ -287,10 +287,10 @@ def vector_merge(spark, sf):
 @register("H59_modified_z", "WITH m AS (SELECT median(l_quantity) AS med FROM lineitem), d AS (SELECT median(abs(l_quantity - med)) AS mad FROM lineitem, m) SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - med) / (1.4826 * mad), 6) AS z FROM lineitem, m, d")
 def modified_z(spark, sf):
     li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    m = li.agg(F.median("l_quantity").alias("med"))
-    j = li.join(F.broadcast(m))
-    d = j.agg(F.median(F.abs(F.col("l_quantity") - F.col("med"))).alias("mad"))
-    return j.join(F.broadcast(d)).select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.try_divide(F.col("l_quantity") - F.col("med"), 1.4826 * F.col("mad")), 6).alias("z"))
+    med = F.lit(A.median(li, "l_quantity")).cast("double")
+    away = li.withColumn("away", F.abs(F.col("l_quantity") - med))
+    mad = F.lit(A.median(away, "away")).cast("double")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.try_divide(F.col("l_quantity") - med, 1.4826 * mad), 6).alias("z"))
 
 
 @register("H83_port_mismatch", f"WITH {P} SELECT packet_id, CASE WHEN proto = 17 AND least(src_port, dst_port) NOT IN (53, 123) THEN true WHEN proto = 6 AND least(src_port, dst_port) = 53 THEN true ELSE false END AS mismatch FROM pkt")
@@ -356,8 +356,8 @@ def latest_state(spark, sf):
 
 @register("I48_sequences", f"WITH {D} SELECT event_id, len(list(value) OVER (PARTITION BY src ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)) AS n, round(list_sum(list(value) OVER (PARTITION BY src ORDER BY epoch_us(ts) RANGE BETWEEN 172800000000 PRECEDING AND CURRENT ROW)), 4) AS total FROM det")
 def sequences(spark, sf):
-    seq = F.collect_list("value").over(S.range_window(["src"], 172_800_000_000))
-    return det(spark, sf).withColumn("s", seq).select("event_id", F.size("s").cast("long").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    w = S.range_window(["src"], 172_800_000_000)
+    return det(spark, sf).select("event_id", F.count("value").over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("total"))
 
 
 @register("I63_lateral_state", f"WITH {D} SELECT src, bool_or(port > 90) AND count(DISTINCT port) > 20 AS lateral, count(*) FILTER (value > 300) > 5 AS ransomware FROM det GROUP BY 1")

@@ -81,9 +81,8 @@ def rule_headers(spark, sf):
     from ..operators import lookups as L
 
     r = rules(spark).select("sid", "dst_port", "src", F.when(F.col("proto") == "tcp", 6).when(F.col("proto") == "udp", 17).alias("proto")).withColumnRenamed("dst_port", "spec")
-    bounds = L.cidr_bounds(r.withColumn("net", F.when(F.col("src") == "any", "0.0.0.0/0").otherwise(F.col("src"))), "net").select("sid", "spec", "proto", "lo", "hi")
-    j = T.packets(spark, sf).join(bounds, "proto")
-    return j.filter(R.port_predicate(F.col("spec"), F.col("dst_port")) & F.col("src_num").between(F.col("lo"), F.col("hi"))).select("packet_id", "sid")
+    headers = L.cidr_bounds(r.withColumn("net", F.when(F.col("src") == "any", "0.0.0.0/0").otherwise(F.col("src"))), "net").filter("proto IS NOT NULL")
+    return R.header_join(T.packets(spark, sf), headers, "src_num", "dst_port").select("packet_id", "sid")
 
 
 @register("J03_plugins", f"WITH {T.DETECTIONS} SELECT event_id, 'burst' AS detector, 3 AS severity, least(1.0, value / 250) AS confidence, 'block' AS action FROM det WHERE event_type = 'error' AND value > 100 UNION ALL SELECT event_id, 'low_port', 1, 0.5, 'log' FROM det WHERE port < 20")

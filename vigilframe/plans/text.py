@@ -188,7 +188,8 @@ for _n, _p, _r in S.REDACTIONS:
 
 @register("H61_sanitise", "SELECT doc_id, md5(%s) AS clean, %s FROM documents" % (SAN, ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{n}" for n, p, _ in S.REDACTIONS)))
 def sanitise(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(S.sanitize(F.col("text")).cast("binary")).alias("clean"), *S.redaction_counts(F.col("text")))
+    r = S.redact(docs(spark, sf).select("doc_id", "text"), "text", "clean")
+    return r.select("doc_id", F.md5(F.col("clean").cast("binary")).alias("clean"), *[f"n_{n}" for n, _, _ in S.REDACTIONS])
 
 
 @register("H62_credentials", r"SELECT doc_id, regexp_matches(text, 'AKIA[0-9A-Z]{16}') OR regexp_matches(text, '(?i)bearer [a-z0-9._-]+') OR contains(text, 'PRIVATE KEY') AS has_secret FROM documents")
