@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,6 +72,29 @@ def squash(x: Column, scale: float) -> Column:
     return F.least(x / scale, F.lit(1.0))
 
 
+def hourly_score(df: DataFrame, ts: str, cols: list[str], least: int = 10) -> DataFrame:
+    """df with `score`: the mean absolute z of the columns against the profile of the row's hour of day, 0 without one.
+
+    A column counts where its hour has more than `least` values. The profile has 24 rows at most.
+    """
+    hour = F.hour(ts)
+    stats = [x for c in cols for x in (F.count(c).alias(f"__{c}_n"), F.avg(c).alias(f"__{c}_m"), F.stddev_samp(c).alias(f"__{c}_s"))]
+    hours = df.groupBy(hour.alias("__hour")).agg(*stats)
+    j = df.withColumn("__hour", hour).join(F.broadcast(hours), "__hour")
+    z = [F.when(F.col(f"__{c}_n") > least, F.abs(zscore(F.col(c), F.col(f"__{c}_m"), F.coalesce(F.col(f"__{c}_s"), F.lit(0.0))))) for c in cols]
+    known = F.array_compact(F.array(*z))
+    score = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.0)
+    return j.withColumn("score", score).select(*df.columns, "score")
+
+
+def smoothness(df: DataFrame, keys: list[str], order: list[str], vector: str, threshold: float = 0.5) -> DataFrame:
+    """score of each key's sequence of vectors: half the mean step between neighbours plus half the share of steps above twice the threshold; 0 for one vector."""
+    was = F.lag(vector).over(Window.partitionBy(*keys).orderBy(*order))
+    step = F.sqrt(F.aggregate(F.zip_with(vector, was, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
+    d = df.select(*keys, step.alias("d"))
+    return d.groupBy(*keys).agg(F.coalesce(0.5 * F.avg("d") + 0.5 * F.avg((F.col("d") > 2 * threshold).cast("double")), F.lit(0.0)).alias("score"))
+
+
 def l2(a: Column) -> Column:
     n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: F.lit(0.0)))
@@ -169,3 +192,50 @@ class IsolationForest:
                 at = child[2 * at + (x[rows, feature[at]] >= cut[at])]
             total += length[at]
         return 2 ** (-(total / len(self.trees)) / max(path_norm(self.size), 1e-9))
+
+
+class BoostedStumps:
+    """One-split trees fitted one after another to what is left of a 0/1 label by squared error; scored as a sum.
+
+    Fitted on a bounded, weighted sample in numpy: `cuts` quantiles a feature are the candidate thresholds, each round
+    looks at a random share of rows. A round without a split that helps adds the mean of what is left.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.1, share: float = 0.8, least: int = 10, cuts: int = 64, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        self.base, self.rate = float(y.mean()) if len(y) else 0.0, rate
+        self.stumps: list[tuple[int, float, float, float]] = []
+        edges = [np.unique(np.quantile(c, np.linspace(0, 1, cuts)))[:-1] for c in x.T] if len(x) else []
+        at = [np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=False)]  # x <= e[k] where at <= k
+        left = y - self.base
+        for _ in range(rounds):
+            use = np.flatnonzero(rng.random(len(y)) < share)
+            if not len(use):
+                continue
+            r, mean = left[use], float(left[use].mean())
+            best = (1e-12, 0, -np.inf, mean, mean)
+            for f, e in enumerate(edges) if len(use) >= least else ():
+                n = np.cumsum(np.bincount(at[f][use], minlength=len(e) + 1))[:-1]
+                s = np.cumsum(np.bincount(at[f][use], r, minlength=len(e) + 1))[:-1]
+                m, t = len(use) - n, r.sum() - s
+                ok = (n > 0) & (m > 0)
+                gain = np.where(ok, s * s / np.maximum(n, 1) + t * t / np.maximum(m, 1) - r.sum() ** 2 / len(use), 0)
+                if len(e) and gain.max() > best[0]:
+                    k = int(gain.argmax())
+                    best = (float(gain[k]), f, float(e[k]), float(s[k] / n[k]), float(t[k] / m[k]))
+            _, f, cut, low, high = best
+            self.stumps.append((f, cut, low, high))
+            left = left - rate * np.where(x[:, f] <= cut, low, high)
+
+    def score(self, cols: list[Column]) -> Column:
+        """The score of a row, within 0 and 1, as one expression: no Python runs on the rows."""
+        terms = [F.when(cols[f] <= cut, self.rate * low).otherwise(self.rate * high) if cut > -np.inf else F.lit(self.rate * high) for f, cut, low, high in self.stumps]
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, terms, F.lit(self.base))))
+
+    def importance(self) -> dict[int, int]:
+        """How many splits each feature made."""
+        out: dict[int, int] = {}
+        for f, cut, _, _ in self.stumps:
+            if cut > -np.inf:
+                out[f] = out.get(f, 0) + 1
+        return out

@@ -162,3 +162,44 @@ def ratio(a: Column, b: Column) -> Column:
 def join_all(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """Aggregates of one key side by side; missing ones become null. All are partitioned by the key already."""
     return reduce(lambda a, b: a.join(b, keys, "left"), parts)
+
+
+# Category of a server port; other ports are 14 below 1024, 15 below 49152, else 16.
+PORT_CATEGORIES = {
+    1: (20, 21), 2: (22,), 3: (23,), 4: (25, 465, 587), 5: (53,), 6: (80, 8080), 7: (110, 995), 8: (143, 993), 9: (443, 8443), 10: (3306,), 11: (3389,), 12: (5432,), 13: (6379,),
+}
+
+
+def port_category(port: Column) -> Column:
+    out = F.when(port < 1024, 14).when(port < 49152, 15).otherwise(16)
+    for number, ports in PORT_CATEGORIES.items():
+        out = F.when(port.isin(*ports), number).otherwise(out)
+    return out
+
+
+def flow_vector(flows: DataFrame, window_us: int = 120_000_000) -> DataFrame:
+    """The 39 features of each flow of flow_aggregate, as columns beside the flow key; times in ms a flow, in us between packets.
+
+    Counts of like connections are over flows that began in the window_us before the flow began, without their own
+    instant, by ranges on (server), (client) and (client, port).
+    """
+    first = F.col("client") == F.col("ip_a")
+    f = flows.withColumns({"server": F.when(first, F.col("ip_b")).otherwise(F.col("ip_a")), "server_port": F.when(first, F.col("port_b")).otherwise(F.col("port_a")), "us": F.unix_micros("start_ts")})
+    near = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("us").rangeBetween(-window_us, -1)).cast("double")
+    c, zero = F.col, F.lit(0.0)
+    total = F.greatest(c("packets"), F.lit(1))
+    seconds = F.greatest((F.unix_micros("last_ts") - c("us")) / 1e6, F.lit(0.001))
+    flags = F.greatest(c("syn_count") + c("ack_count") + c("fin_count") + c("rst_count") + c("psh_count") + c("urg_count"), F.lit(1))
+    both = lambda fn, name: F.coalesce(fn(f"fwd_{name}", f"bwd_{name}"), zero)
+    some = c("fwd_iat_count") + c("bwd_iat_count") > 1
+    features = {
+        "duration_ms": F.floor((F.unix_micros("last_ts") - c("us")) / 1000), "protocol_type": c("proto"), "src_bytes": c("fwd_bytes"), "dst_bytes": c("bwd_bytes"), "total_packets": total, "src_packets": c("fwd_packets"), "dst_packets": c("bwd_packets"),
+        "avg_packet_size": c("bytes") / total, "min_packet_size": both(F.least, "min"), "max_packet_size": both(F.greatest, "max"), "std_packet_size": F.when(c("packets") > 1, weighted_std(c("fwd_packets"), c("fwd_std"), c("bwd_packets"), c("bwd_std"))).otherwise(0.0),
+        "bytes_per_second": c("bytes") / seconds, "packets_per_second": total / seconds, "src_bytes_per_second": c("fwd_bytes") / seconds, "dst_bytes_per_second": c("bwd_bytes") / seconds,
+        **{f"{n}_count": c(f"{n}_count") for n in ("syn", "ack", "fin", "rst", "psh", "urg")}, **{f"{n}_rate": c(f"{n}_count") / flags for n in ("syn", "fin", "rst")},
+        "iat_mean": weighted_mean(c("fwd_iat_count"), c("fwd_iat_mean"), c("bwd_iat_count"), c("bwd_iat_mean")), "iat_std": F.when(some, weighted_std(c("fwd_iat_count"), c("fwd_iat_std"), c("bwd_iat_count"), c("bwd_iat_std"))).otherwise(0.0), "iat_min": both(F.least, "iat_min"), "iat_max": both(F.greatest, "iat_max"),
+        "fwd_bwd_ratio": c("fwd_packets") / F.greatest(c("bwd_packets"), F.lit(1)), "bytes_ratio": c("fwd_bytes") / F.greatest(c("bwd_bytes"), F.lit(1)),
+        "same_dst_count": near("server"), "same_src_count": near("client"), "same_srv_count": near("client", "server_port"), "diff_srv_count": near("client") - near("client", "server_port"),
+        "is_tcp": c("proto") == 6, "is_udp": c("proto") == 17, "is_icmp": c("proto") == 1, "dst_port_category": port_category(c("server_port")), "is_well_known_port": c("server_port") < 1024,
+    }
+    return f.select(*FLOW_KEY, *[x.cast("double").alias(n) for n, x in features.items()])

@@ -64,6 +64,22 @@ def threshold_spec(v: Column) -> Column:
     return F.when(v.isNotNull(), F.struct(g("type").alias("type"), g("track").alias("track"), g("count").try_cast("int").alias("count"), g("seconds").try_cast("int").alias("seconds")))
 
 
+def size_spec(v: Column) -> Column:
+    """`n`, `>n`, `<n`, `>=n`, `<=n`, `a<>b` as (low, high), both ends included; null for anything else."""
+    n = lambda k: F.regexp_extract(F.trim(v), r"^(<=|>=|<|>)?\s*(\d+)\s*(?:(<>)\s*(\d+))?$", k)
+    a, b, top = n(2).try_cast("long"), n(4).try_cast("long"), F.lit((1 << 62)).cast("long")
+    zero = F.lit(0).cast("long")
+    low = F.when(n(3) != "", a + 1).when(n(1) == ">", a + 1).when(n(1) == ">=", a).when(n(1).isin("<", "<="), zero).otherwise(a)
+    high = F.when(n(3) != "", b - 1).when(n(1) == "<", a - 1).when(n(1) == "<=", a).when(n(1).isin(">", ">="), top).otherwise(a)
+    return F.when(a.isNotNull(), F.struct(low.alias("low"), high.alias("high")))
+
+
+def literal_pattern(content: Column, nocase: Column) -> Column:
+    """A regular expression that matches exactly a content's characters: each as an escape of two or more hex digits."""
+    points = F.transform(F.regexp_extract_all(content, F.lit("(?s)(.)"), 1), lambda c: F.concat(F.lit("\\x{"), F.lower(F.hex(F.ascii(c))), F.lit("}")))
+    return F.concat(F.when(nocase, F.lit("(?i)")).otherwise(F.lit("")), F.array_join(points, ""))
+
+
 def tcp_flags_spec(v: Column) -> Column:
     """`SA`, `S,12`, `+F`, `*SR`, `!A` as (mode, want): want has the bits of the letters."""
     bits = {"F": 1, "S": 2, "R": 4, "P": 8, "A": 16, "U": 32, "E": 64, "C": 128}

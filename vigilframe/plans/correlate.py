@@ -17,64 +17,93 @@ CHAINS = [("intrusion", ["Reconnaissance", "InitialAccess"], 2), ("breach", ["Co
 H = 3_600_000_000
 
 
+
+
+def folded(source: str, state: str, seed: str, step: str, out: str) -> str:
+    """SQL of an ordered fold: rows of `source` (event_id, k, us and more) are met in order, one at a time, by the state of their key.
+
+    seed gives the state before the first row; step is a query over `x`, a row beside its key's state, that gives k, rn, the
+    new state, event_id and the result.
+    """
+    return f"""WITH RECURSIVE {D}, g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY us, event_id) AS rn FROM ({source})),
+ st(k, rn, {state}, event_id, out) AS (SELECT k, 0::BIGINT, {seed} FROM g GROUP BY 1 UNION ALL {step.replace("FROM x", f"FROM (SELECT g.*, {', '.join(f'st.{c.strip()}' for c in state.split(','))} FROM st JOIN g ON g.k = st.k AND g.rn = st.rn + 1) x")}) {out}"""
+
+
+def anchored(source: str, width: int, reopen: str = ">") -> str:
+    """SQL: rows of `source` with the time their window opened, as `a`."""
+    return f"""WITH RECURSIVE {D}, g AS ({source}), o(k, at_us) AS (SELECT k, min(us) FROM g GROUP BY 1 UNION ALL SELECT o.k, min(g.us) FROM o JOIN g ON g.k = o.k AND g.us {reopen} o.at_us + {width} GROUP BY o.k, o.at_us),
+ a AS (SELECT g.*, o.at_us AS opened FROM g ASOF JOIN o ON g.k = o.k AND g.us >= o.at_us)"""
+
+
+BY_SRC = "SELECT event_id, src AS k, epoch_us(ts) AS us, port, value FROM det WHERE "
+
+
 def det(spark, sf):
     return T.detections(spark, sf).withColumn("us", F.unix_micros("ts"))
 
 
-@register("I01_find_time_ban")
+@register("I01_find_time_ban", folded(BY_SRC + "severity >= 1", "seen", "[]::BIGINT[], NULL::BIGINT, false",
+ f"SELECT k, rn, CASE WHEN len(s) >= 5 THEN [] ELSE s END, event_id, len(s) >= 5 FROM (SELECT *, list_append(list_filter(seen, lambda t: t > us - {48 * H}), us) AS s FROM x)", "SELECT event_id, k AS src FROM st WHERE out"))
 def find_time_ban(spark, sf):
     d = det(spark, sf).filter("severity >= 1").select("event_id", "src", "us")
     return S.fold(d, ["src"], lambda: S.FindTime(5, 48 * H)).filter("fired").select("event_id", "src")
 
 
-@register("I02_port_scan_ban")
+@register("I02_port_scan_ban", folded(BY_SRC + "true", "seen", "[]::STRUCT(p INTEGER, t BIGINT)[], NULL::BIGINT, false",
+ f"SELECT k, rn, CASE WHEN len(s) >= 8 THEN [] ELSE s END, event_id, len(s) >= 8 FROM (SELECT *, CASE WHEN list_contains(list_transform(l, lambda q: q.p), port) THEN l ELSE list_append(l, {{'p': port, 't': us}}) END AS s FROM (SELECT *, list_filter(seen, lambda q: q.t > us - {72 * H}) AS l FROM x))", "SELECT event_id, k AS src FROM st WHERE out"))
 def port_scan_ban(spark, sf):
     d = det(spark, sf).select("event_id", "src", "us", "port")
     return S.fold(d, ["src"], lambda: S.DistinctPorts(8, 72 * H)).filter("fired").select("event_id", "src")
 
 
-@register("I03_severity_threshold")
+@register("I03_severity_threshold", f"{anchored(BY_SRC + 'severity >= 2', 48 * H)} SELECT event_id, row_number() OVER (PARTITION BY k, opened ORDER BY us, event_id) >= 3 AS fired FROM a")
 def severity_threshold(spark, sf):
     d = det(spark, sf).filter("severity >= 2").select("event_id", "src", "us")
     return S.fold(d, ["src"], lambda: S.FixedWindow(3, 48 * H)).select("event_id", "fired")
 
 
-@register("I04_rule_threshold")
+@register("I04_rule_threshold", f"{anchored('''SELECT event_id, src || ':' || event_type AS k, epoch_us(ts) AS us FROM det''', 96 * H)}, p AS (SELECT event_id, row_number() OVER (PARTITION BY k, opened ORDER BY us, event_id) AS n FROM a) SELECT event_id, 'limit' AS kind FROM p WHERE n <= 2 UNION ALL SELECT event_id, 'threshold' FROM p WHERE n % 2 = 0 UNION ALL SELECT event_id, 'both' FROM p WHERE n = 2")
 def rule_threshold(spark, sf):
+    """All three kinds of threshold from one pass over each key."""
     d = det(spark, sf).select("event_id", "src", "event_type", "us")
-    out = None
-    for kind in ("limit", "threshold", "both"):
-        f = S.fold(d, ["src", "event_type"], lambda kind=kind: S.RuleThreshold(kind, 2, 96 * H)).filter("fired").select("event_id", F.lit(kind).alias("kind"))
-        out = f if out is None else out.unionByName(f)
-    return out
+    kinds = ("limit", "threshold", "both")
+
+    def start():
+        states = [S.RuleThreshold(k, 2, 96 * H) for k in kinds]
+        return lambda row: [k for k, state in zip(kinds, states, strict=True) if state(row)]
+
+    return S.fold(d, ["src", "event_type"], start, "kinds", "array<string>").select("event_id", F.explode("kinds").alias("kind"))
 
 
-@register("I05_flowbits")
+@register("I05_flowbits", folded("SELECT event_id, src AS k, epoch_us(ts) AS us, event_id % 4 AS op, port % 3 AS b FROM det", "bits", "[false, false, false], NULL::BIGINT, false",
+ "SELECT k, rn, s, event_id, s[b + 1] FROM (SELECT *, list_transform(bits, lambda v, i: CASE WHEN i <> b + 1 THEN v WHEN op = 0 THEN true WHEN op = 2 THEN NOT v WHEN op = 3 THEN false ELSE v END) AS s FROM x)", "SELECT event_id, out AS isset FROM st WHERE rn > 0"))
 def flowbits(spark, sf):
     op = F.element_at(F.array(*[F.lit(x) for x in ("set", "isset", "toggle", "unset")]), (F.col("event_id") % 4 + 1).cast("int"))
     d = det(spark, sf).select("event_id", "src", "us", op.alias("op"), F.concat(F.lit("b"), (F.col("port") % 3).cast("string")).alias("bit"))
     return S.fold(d, ["src"], S.Flowbits, "isset").select("event_id", "isset")
 
 
-@register("I16_duplicates")
+@register("I16_duplicates", f"{anchored('''SELECT event_id, src || ':' || event_type AS k, epoch_us(ts) AS us FROM det''', 24 * H, '>=')} SELECT min(event_id) AS event_id FROM a WHERE us = opened GROUP BY k, opened")
 def duplicates(spark, sf):
     d = det(spark, sf).select("event_id", "src", "event_type", "us")
     return S.fold(d, ["src", "event_type"], lambda: S.FirstSeen(24 * H), "first").filter("first").select("event_id")
 
 
-@register("E01_anchored_windows")
+@register("E01_anchored_windows", f"{anchored(BY_SRC + 'true', 24 * H)}, w AS (SELECT k AS src, opened AS start_us, count(*) AS n FROM a GROUP BY 1, 2) SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY start_us) - 1 AS BIGINT) AS win, start_us, n FROM w")
 def anchored_windows(spark, sf):
     d = S.fold(det(spark, sf).select("event_id", "src", "us"), ["src"], lambda: S.AnchoredWindow(24 * H), "win", "bigint")
     return d.groupBy("src", "win").agg(F.min("us").alias("start_us"), F.count(F.lit(1)).alias("n"))
 
 
-@register("E11_ema")
+@register("E11_ema", folded(BY_SRC + "true", "mean, var", "NULL::DOUBLE, 1.0::DOUBLE, NULL::BIGINT, false",
+ "SELECT k, rn, m, CASE WHEN mean IS NULL THEN var ELSE greatest(0.000001::DOUBLE, 0.9::DOUBLE * var + 0.1::DOUBLE * (value - mean) * (value - m)) END, event_id, true FROM (SELECT *, CASE WHEN mean IS NULL THEN value ELSE mean + 0.1::DOUBLE * (value - mean) END AS m FROM x)", "SELECT event_id, round(mean, 6) AS mean, round(var, 6) AS var FROM st WHERE out"))
 def ema(spark, sf):
     d = S.fold(det(spark, sf).select("event_id", "src", "us", "value"), ["src"], lambda: S.Ema(0.1), "e", "struct<mean:double,var:double>")
     return d.select("event_id", F.round("e.mean", 6).alias("mean"), F.round("e.var", 6).alias("var"))
 
 
-@register("I53_action_limit")
+@register("I53_action_limit", folded(BY_SRC + "severity = 3", "seen", "[]::BIGINT[], NULL::BIGINT, false",
+ f"SELECT k, rn, CASE WHEN len(s) < 2 THEN list_append(s, us) ELSE s END, event_id, len(s) < 2 FROM (SELECT *, list_filter(seen, lambda t: t > us - {72 * H}) AS s FROM x)", "SELECT event_id, out AS allowed FROM st WHERE rn > 0"))
 def action_limit(spark, sf):
     return S.fold(det(spark, sf).filter("severity = 3").select("event_id", "src", "us"), ["src"], lambda: S.SlidingLimit(2, 72 * H), "allowed").select("event_id", "allowed")
 

@@ -221,3 +221,26 @@ def prioritised(spark, sf):
     word = F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(":3")).cast("binary")), 1, 10)
     u = (F.conv(word, 16, 10).cast("long") + 0.5) / (1 << 40)
     return T.detections(spark, sf).orderBy(-F.log(u) / (F.col("severity") + 1), "event_id").limit(500).select("event_id", "severity")
+
+
+@register("E08_hourly_score", f"WITH {D}, h AS (SELECT hour(ts) AS hr, count(value) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s, avg(port) AS pm, coalesce(stddev_samp(port), 0) AS ps FROM det GROUP BY 1) SELECT event_id, round(CASE WHEN n > 10 THEN ((CASE WHEN s > 0 THEN abs((value - m) / s) ELSE 0 END) + (CASE WHEN ps > 0 THEN abs((port - pm) / ps) ELSE 0 END)) / 2 ELSE 0 END, 6) AS score FROM det JOIN h ON hr = hour(ts)")
+def hourly_score(spark, sf):
+    d = T.detections(spark, sf).select("event_id", "ts", "value", "port")
+    return A.hourly_score(d, "ts", ["value", "port"]).select("event_id", F.round("score", 6).alias("score"))
+
+
+@register("E09_vector_smoothness", f"WITH {D}, l AS (SELECT src, value / 100 AS x, port / 50 AS y, lag(value / 100) OVER w AS px, lag(port / 50) OVER w AS py FROM det WINDOW w AS (PARTITION BY src ORDER BY ts, event_id)), d AS (SELECT src, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM l) SELECT src, round(coalesce(0.5::DOUBLE * avg(d) + 0.5::DOUBLE * avg(CASE WHEN d > 1 THEN 1.0::DOUBLE WHEN d IS NOT NULL THEN 0 END), 0), 6) AS score FROM d GROUP BY 1")
+def vector_smoothness(spark, sf):
+    d = T.detections(spark, sf).select("src", "ts", "event_id", F.array(F.col("value") / 100, F.col("port") / 50).alias("v"))
+    return A.smoothness(d, ["src"], ["ts", "event_id"], "v").select("src", F.round("score", 6).alias("score"))
+
+
+@register("K13_boosted_stumps")
+def boosted_stumps(spark, sf):
+    """Every line item's score for being returned, by stumps fitted on 8192 rows of the smallest hashes."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *[F.col(c).cast("double") for c in cols])
+    some = li.dropna().orderBy(F.xxhash64("l_orderkey", "l_linenumber", *cols), "l_orderkey", "l_linenumber", *cols).limit(8192).select(*cols, (F.col("l_returnflag") == "R").cast("double").alias("y")).collect()
+    data = np.array([list(r) for r in some], dtype=float).reshape(-1, 5)
+    model = A.BoostedStumps(data[:, :4], data[:, 4])
+    return li.select("l_orderkey", "l_linenumber", F.round(model.score([F.col(c) for c in cols]), 6).alias("score"))

@@ -103,11 +103,11 @@ def streaming_stats(spark, sf):
     return T.packets(spark, sf).groupBy("src_num").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("mn"), F.max("size").alias("mx"), F.round(F.avg("size"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("size"), F.lit(0.0)), 6).alias("std"), F.sum("size").alias("total"))
 
 
-FLOW_COLS = ["packets", "bytes", "fwd_packets", "fwd_bytes", "bwd_packets", "bwd_bytes", "syn_count", "syn_ack_count", "fin_count", "rst_count", "psh_count", "ack_count", "urg_count"]
+FLOW_COLS = ["packets", "bytes", "fwd_packets", "fwd_bytes", "bwd_packets", "bwd_bytes", "syn_count", "syn_ack_count", "ficcount", "rst_count", "psh_count", "ack_count", "urg_count"]
 
 
 @register("D06_flow_aggregate", f"""WITH {DIRECTED} SELECT {K}, min(client) AS client, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (fwd) AS fwd_packets, CAST(coalesce(sum(size) FILTER (fwd), 0) AS BIGINT) AS fwd_bytes,
- count(*) FILTER (NOT fwd) AS bwd_packets, CAST(coalesce(sum(size) FILTER (NOT fwd), 0) AS BIGINT) AS bwd_bytes, count(*) FILTER (flags & 18 = 2) AS syn_count, count(*) FILTER (flags & 18 = 18) AS syn_ack_count, count(*) FILTER (flags & 1 = 1) AS fin_count,
+ count(*) FILTER (NOT fwd) AS bwd_packets, CAST(coalesce(sum(size) FILTER (NOT fwd), 0) AS BIGINT) AS bwd_bytes, count(*) FILTER (flags & 18 = 2) AS syn_count, count(*) FILTER (flags & 18 = 18) AS syn_ack_count, count(*) FILTER (flags & 1 = 1) AS ficcount,
  count(*) FILTER (flags & 4 = 4) AS rst_count, count(*) FILTER (flags & 8 = 8) AS psh_count, count(*) FILTER (flags & 16 = 16) AS ack_count, count(*) FILTER (flags & 32 = 32) AS urg_count FROM f3 GROUP BY {K}""")
 def flow_aggregate(spark, sf):
     return flows(spark, sf).select(*X.FLOW_KEY, "client", *FLOW_COLS)
@@ -341,3 +341,28 @@ def full_vector(spark, sf):
     """All 88 features of each source and day with the label of the decision list; tested against a plain loop."""
     v = V.features(by_day(spark, sf), WK)
     return v.select(*WK, "n_all", V.as_array(v).alias("features"), V.decide(v).alias("label"))
+
+
+#: One second stands for an hour here, so that two minutes hold flows.
+WINDOW = 120 * 3_600_000_000
+CATEGORY = "CASE " + " ".join(f"WHEN sp IN ({', '.join(map(str, ports))}) THEN {n}" for n, ports in X.PORT_CATEGORIES.items()) + " WHEN sp < 1024 THEN 14 WHEN sp < 49152 THEN 15 ELSE 16 END"
+SIDES = ", ".join(f"count(*) FILTER ({w}) AS {n}n, coalesce(sum(size) FILTER ({w}), 0) AS {n}b, min(size) FILTER ({w}) AS {n}mn, max(size) FILTER ({w}) AS {n}mx, coalesce(stddev_samp(size) FILTER ({w}), 0) AS {n}s, count(iat) FILTER ({w}) AS {n}ic, coalesce(avg(iat) FILTER ({w}), 0) AS {n}im, coalesce(stddev_samp(iat) FILTER ({w}), 0) AS {n}is, min(iat) FILTER ({w}) AS {n}imn, max(iat) FILTER ({w}) AS {n}imx" for n, w in (("f", "fwd"), ("b", "NOT fwd")))
+FLAGGED = ", ".join(f"count(*) FILTER (flags & {m} = {b}) AS {n}" for n, m, b in (("syn", 18, 2), ("ack", 16, 16), ("fin", 1, 1), ("rst", 4, 4), ("psh", 8, 8), ("urg", 32, 32)))
+VECTOR = {
+    "duration_ms": "(t1 - t0) // 1000", "protocol_type": "proto", "src_bytes": "fb", "dst_bytes": "bb", "total_packets": "n", "src_packets": "fn", "dst_packets": "bn", "avg_packet_size": "bytes / n", "min_packet_size": "coalesce(least(fmn, bmn), 0)",
+    "max_packet_size": "coalesce(greatest(fmx, bmx), 0)", "std_packet_size": "CASE WHEN n > 1 THEN sqrt((fn * fs * fs + bn * bs * bs) / n) ELSE 0 END", "bytes_per_second": "bytes / secs", "packets_per_second": "n / secs", "src_bytes_per_second": "fb / secs",
+    "dst_bytes_per_second": "bb / secs", **{f"{k}_count": k for k in ("syn", "ack", "fin", "rst", "psh", "urg")}, **{f"{k}_rate": f"{k} / greatest(syn + ack + fin + rst + psh + urg, 1)" for k in ("syn", "fin", "rst")},
+    "iat_mean": "CASE WHEN fic + bic > 0 THEN (fic * fim + bic * bim) / (fic + bic) ELSE 0 END", "iat_std": "CASE WHEN fic + bic > 1 THEN sqrt((fic * fis * fis + bic * bis * bis) / (fic + bic)) ELSE 0 END", "iat_min": "coalesce(least(fimn, bimn), 0)", "iat_max": "coalesce(greatest(fimx, bimx), 0)",
+    "fwd_bwd_ratio": "fn / greatest(bn, 1)", "bytes_ratio": "fb / greatest(bb, 1)", "same_dst_count": "sd", "same_src_count": "ss", "same_srv_count": "sv", "diff_srv_count": "ss - sv",
+    "is_tcp": "CASE WHEN proto = 6 THEN 1 ELSE 0 END", "is_udp": "CASE WHEN proto = 17 THEN 1 ELSE 0 END", "is_icmp": "CASE WHEN proto = 1 THEN 1 ELSE 0 END", "dst_port_category": CATEGORY, "is_well_known_port": "CASE WHEN sp < 1024 THEN 1 ELSE 0 END",
+}
+NEAR = f"RANGE BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING"
+
+
+@register("K01_flow_vector", f"""WITH {DIRECTED}, fl0 AS (SELECT {K}, min(client) AS client, epoch_us(min(ts)) AS t0, epoch_us(max(ts)) AS t1, count(*) AS n, sum(size) AS bytes, {SIDES}, {FLAGGED} FROM f3 GROUP BY {K}),
+ fl1 AS (SELECT *, CASE WHEN client = ip_a THEN ip_b ELSE ip_a END AS server, CASE WHEN client = ip_a THEN port_b ELSE port_a END AS sp, greatest((t1 - t0) / 1e6, 0.001::DOUBLE) AS secs FROM fl0),
+ fl2 AS (SELECT *, count(*) OVER (PARTITION BY server ORDER BY t0 {NEAR}) AS sd, count(*) OVER (PARTITION BY client ORDER BY t0 {NEAR}) AS ss, count(*) OVER (PARTITION BY client, sp ORDER BY t0 {NEAR}) AS sv FROM fl1)
+ SELECT {K}, {", ".join(f"round(CAST({e} AS DOUBLE), 4) AS {n}" for n, e in VECTOR.items())} FROM fl2""")
+def flow_vector(spark, sf):
+    v = X.flow_vector(flows(spark, sf), WINDOW)
+    return v.select(*X.FLOW_KEY, *[F.round(c, 4).alias(c) for c in v.columns if c not in X.FLOW_KEY])

@@ -91,3 +91,20 @@ def run_plugins(spark, sf):
     reg.add("burst", lambda df: G.result("burst", (F.col("event_type") == "error") & (F.col("value") > 100), F.col("value") / 250, 3, "block"))
     reg.add("low_port", lambda df: G.result("low_port", F.col("port") < 20, F.lit(0.5), 1, "log"))
     return G.to_detections(reg.evaluate(T.detections(spark, sf)), "event_id")
+
+
+SIZES = ["5", ">30", "<12", "10<>20", ">=45", "<=3", "none"]
+
+
+@register("H19_size_spec", "WITH s(i, low, high) AS (VALUES (0, 5, 5), (1, 31, 4611686018427387904), (2, 0, 11), (3, 11, 19), (4, 45, 4611686018427387904), (5, 0, 3)) SELECT p_partkey, p_size BETWEEN low AND high AS fits FROM part LEFT JOIN s ON p_partkey % 7 = i")
+def size_specs(spark, sf):
+    spec = F.element_at(F.array(*[F.lit(x) for x in SIZES]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    m = R.size_spec(spec)
+    return T.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").between(m["low"], m["high"]).alias("fits"))
+
+
+@register("H24_literal_patterns", "SELECT page_id, contains(url, substr(url, 10, 4)) AS own, contains(lower(url), 'com/p') AS low FROM pages")
+def literal_patterns(spark, sf):
+    """Contents with dots and question marks in them match as they stand; `own` takes each row's own pattern."""
+    own = R.literal_pattern(F.substring("url", 10, 4), F.lit(False))
+    return T.table(spark, sf, "pages").select("page_id", F.call_function("rlike", F.col("url"), own).alias("own"), F.call_function("rlike", F.col("url"), R.literal_pattern(F.lit("COM/P"), F.lit(True))).alias("low"))
