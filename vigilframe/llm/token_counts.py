@@ -27,16 +27,21 @@ def byte_alphabet() -> list[str]:
 
 
 class WordBpe:
-    """Counts tokens as the tokenizers library gives them for a lower-casing word-level BPE file.
+    """Counts tokens as the tokenizers library gives them for a word-level BPE file over bytes.
 
-    Reads vocabulary, merges, the pre-tokenizer's pattern and the added tokens from the file. Counts by piece are kept in
-    a table of at most `most` pieces for as long as the worker lives.
+    Reads vocabulary, merges, normalizers, the pre-tokenizer's pattern and the added tokens from the file. A file that
+    asks for anything else (other normalizers, dropout, unknown tokens, byte fallback, kept separators, prefix spaces,
+    added tokens that strip or normalise) is refused by ValueError, not counted wrongly. Counts by piece are kept in a
+    table of at most `most` pieces of at most `longest` characters for as long as the worker lives.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        self.nfc, self.lower = self._normalizers(spec.get("normalizer"))
+        self._supported(spec)
+        self.longest = longest
         self.suffix, self.most = model.get("end_of_word_suffix") or "", most
         self.rank: dict[tuple[str, str], int] = {}
         for i, m in enumerate(model["merges"]):
@@ -49,6 +54,29 @@ class WordBpe:
         self.alphabet = byte_alphabet()
         self.known: dict[str, int] = {}
 
+    @staticmethod
+    def _normalizers(spec: dict | None) -> tuple[bool, bool]:
+        """Whether a file asks for NFC and for lower case. Blanks for white space change nothing: separators are removed."""
+        steps = [] if spec is None else spec["normalizers"] if spec["type"] == "Sequence" else [spec]
+        for s in steps:
+            if s["type"] not in ("NFC", "Lowercase") and not (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "):
+                raise ValueError(f"unsupported normalizer: {s}")
+        kinds = [s["type"] for s in steps if s["type"] != "Replace"]
+        if kinds not in ([], ["NFC"], ["Lowercase"], ["NFC", "Lowercase"]):
+            raise ValueError(f"unsupported order of normalizers: {kinds}")
+        return "NFC" in kinds, "Lowercase" in kinds
+
+    @staticmethod
+    def _supported(spec: dict) -> None:
+        model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [s["type"] for s in steps if s["type"] not in ("Split", "ByteLevel")]
+        odd += ["Split" for s in steps if s["type"] == "Split" and not (s["behavior"] == "Removed" and s["invert"] and "Regex" in s["pattern"])]
+        odd += ["ByteLevel" for s in steps if s["type"] == "ByteLevel" and (s["add_prefix_space"] or s.get("use_regex", True))]
+        odd += [t["content"] for t in spec["added_tokens"] if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+        if model["type"] != "BPE" or [s["type"] for s in steps] != ["Split", "ByteLevel"] or odd:
+            raise ValueError(f"unsupported tokenizer file: {model['type']}, {odd}")
+
     def merged(self, piece: str) -> int:
         """Initial symbols minus merges. The pair with the lowest rank, leftmost first, is merged until none is left."""
         symbols = [self.alphabet[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -77,16 +105,19 @@ class WordBpe:
         return n
 
     def _plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lower-cases character by character
+        if self.nfc and not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.lower:
+            text = text.replace("Σ", "σ").lower()  # the library lower-cases character by character
         known, total = self.known, 0
-        for piece in self.find(text.lower()):
+        for piece in self.find(text):
             n = known.get(piece)
             if n is None:
                 n = self.merged(piece)
-                if len(known) >= self.most:
-                    known.clear()
-                known[piece] = n
+                if len(piece) <= self.longest:
+                    if len(known) >= self.most:
+                        known.clear()
+                    known[piece] = n
             total += n
         return total
 
