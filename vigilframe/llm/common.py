@@ -114,3 +114,22 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """From batches sorted by `keys`, the rows that agree in all of them, run by run; one run is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        start = 0
+        for i, v in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)):
+            if v != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, v
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, pii, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, pii, sharding, simhash, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -78,6 +78,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = documents(spark, sf_dir), ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.record_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    tampered = F.col("doc_id").isNotNull() & (fold("doc_id", 7) == 0)
+    made = merkle.folded(merkle.manifest(docs, fields, "lang", "doc_id", F.when(tampered, changed)).proofs)
+    return made.select(
+        F.col("__id").alias("doc_id"), F.col("__leaf").alias("leaf"), F.col("__subroot").alias("subroot"), F.col("__root").alias("root"), F.sha2("__proof", 256).alias("proof_sha256"),
+        F.col("__folded").alias("folded_root"), (F.col("__folded") == F.col("__root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -89,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,5 +115,50 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER w AS kept,
        text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+v AS (
+  SELECT doc_id, lang,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS b, xor(crc, 4294967295) % 7 = 0 AND doc_id IS NOT NULL AS tampered
+  FROM d),
+l AS (
+  SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf, tampered,
+         sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || b) AS changed
+  FROM v),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM l),
+node(tree, level, pos, n, h) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY node.pos)) FROM node WHERE n > 1 GROUP BY tree, level, node.pos // 2, n),
+subroot AS (SELECT tree, h, count(*) OVER () AS trees FROM node WHERE n = 1),
+top(level, pos, n, h) AS (
+  SELECT 0, tree, trees, h FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY top.pos)) FROM top WHERE n > 1 GROUP BY level, top.pos // 2, n),
+fold(tree, pos, place, n, step, high, proof, h, done) AS (
+  SELECT tree, pos, pos, n, 0, false, '', CASE WHEN tampered THEN changed ELSE leaf END, false FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos,
+         CASE WHEN f.n = 1 THEN f.tree ELSE f.place // 2 END,
+         CASE WHEN f.n = 1 THEN s.trees ELSE (f.n + 1) // 2 END,
+         CASE WHEN f.n = 1 THEN 0 ELSE f.step + 1 END,
+         f.high OR f.n = 1,
+         f.proof || CASE WHEN f.n = 1 THEN '' ELSE coalesce(b.h, t.h, '') END,
+         CASE WHEN f.n = 1 THEN f.h WHEN f.place % 2 = 1 THEN sha256(coalesce(b.h, t.h, '') || f.h) ELSE sha256(f.h || coalesce(b.h, t.h, '')) END,
+         f.n = 1 AND (f.high OR s.trees = 1)
+  FROM fold f JOIN subroot s USING (tree)
+  LEFT JOIN node b ON NOT f.high AND f.n > 1 AND b.tree = f.tree AND b.level = f.step AND b.pos = xor(f.place, 1)
+  LEFT JOIN top t ON f.high AND f.n > 1 AND t.level = f.step AND t.pos = xor(f.place, 1)
+  WHERE NOT f.done)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN subroot s ON s.tree = p.tree JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.done JOIN top r ON r.n = 1
 """,
 }
