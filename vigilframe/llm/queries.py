@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, pii, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, language_id, lm_score, merkle, minhash, mixing, pii, sharding, simhash, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -78,6 +78,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__id").eqNullSafe(F.col("__component")).alias("kept"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fields = documents(spark, sf_dir), ("doc_id", "source", "lang", "n_chars", "text")
     changed = merkle.record_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -160,5 +166,22 @@ fold(tree, pos, place, n, step, high, proof, h, done) AS (
   WHERE NOT f.done)
 SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
 FROM placed p JOIN subroot s ON s.tree = p.tree JOIN fold f ON f.tree = p.tree AND f.pos = p.pos AND f.done JOIN top r ON r.n = 1
+""",
+    "op11_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY x, y),
+link AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+side AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM side UNION SELECT r.x, s.y FROM reach r JOIN side s ON r.y = s.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, min(r.y)), d.doc_id) AS component_id,
+       d.doc_id = coalesce(least(d.doc_id, min(r.y)), d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id
+GROUP BY d.doc_id, n.n
 """,
 }
