@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, merkle, minhash, mixing, pii, sharding, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, hard_negatives, language_id, lm_score, merkle, minhash, mixing, pii, sharding, simhash, token_counts, toxicity
 from .common import documents, fold
 
 
@@ -94,6 +94,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label)
+    out = hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+    return out.select(
+        F.col("__anchor").alias("anchor_id"), F.col("__positive").alias("positive_id"), F.col("__rank").alias("rank"), F.col("__negative").alias("negative_id"),
+        F.col("__positive_score").alias("positive_score"), F.col("__negative_score").alias("negative_score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -107,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_minhash_dedup": op11_minhash_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -175,13 +186,28 @@ s AS (
                                            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS shingle
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY x, y),
-link AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY x, y),
+link AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
 side AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT x, y FROM side UNION SELECT r.x, s.y FROM reach r JOIN side s ON r.y = s.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, min(r.y)), d.doc_id) AS component_id,
        d.doc_id = coalesce(least(d.doc_id, min(r.y)), d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id
 GROUP BY d.doc_id, n.n
+""",
+    "op13_hard_negatives": """
+WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, x.vec_id AS x, a.label = x.label AS alike, list_inner_product(a.v::DOUBLE[], x.v::DOUBLE[])::BIGINT AS score
+  FROM q a JOIN q x ON a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id),
+p AS (SELECT a, x, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, x) <= 5),
+n AS (
+  SELECT p.a, p.x, p.score AS ps, s.x AS neg, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.x ORDER BY s.score DESC, s.x) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT a AS anchor_id, x AS positive_id, rank::INTEGER AS rank, neg AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5
 """,
 }
