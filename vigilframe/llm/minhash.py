@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, relieve, shuffle_parts
 from .components import components
-from .set_links import links_in_groups, shingle_set
+from .set_links import links_in_groups, pair_parts, shingle_set
 
 
 @dataclass(frozen=True)
@@ -209,10 +209,7 @@ def candidate_links(sets: DataFrame, scheme: Scheme, hot: int = 4096, rows_per_t
         elif level == 1:
             keys = materialize(keys.mapInArrow(_finer(scheme), StructType([StructField(f.name, LongType() if f.name != "sig" else f.dataType) for f in keys.schema])))
         else:
-            size = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("parts")).select((F.col("key") + 1).alias("k1"), "parts")
-            rows = keys.join(size, keys["key"] + 1 == size["k1"]).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))))
-            keys = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "uid", "sig", "n")
+            keys = pair_parts(keys, "uid", hot)
     return reduce(DataFrame.unionAll, found)
 
 

@@ -84,3 +84,12 @@ def links_in_groups(sets: DataFrame, at_least: tuple[int, int], block_bytes: int
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
     rows = rows.withColumn("other", F.explode(others)).select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "shingles", "extra")
     return rows.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_block_links(at_least, filtered), f"a {kind}, b {kind}")
+
+
+def pair_parts(keys: DataFrame, by: str, most: int) -> DataFrame:
+    """Each key of keys(key, ...) replaced by one for each pair of its parts: rows are dealt by `by` to parts of about `most`
+    rows, and every two rows of a key share one new key at least. Rows are copied once for each other part."""
+    size = keys.groupBy("key").agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("parts")).select((F.col("key") + 1).alias("k1"), "parts")
+    rows = keys.join(size, keys["key"] + 1 == size["k1"]).withColumn("own", F.pmod(F.xxhash64(by, F.lit(9)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own"))))
+    return rows.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*keys.columns)

@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, relieve, shuffle_parts
 from .components import components
+from .set_links import links_in_groups, pair_parts, shingle_set
 
 
 def bit_majority(hashes: np.ndarray) -> int:
@@ -196,23 +197,29 @@ def split_keys(keys: DataFrame, radius: int, level: int) -> DataFrame:
 def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096, levels: int = 4, rows_per_task: int = 4_000_000) -> DataFrame:
     """Links a, b that connect exactly what pairs of distinct prints(fp) at `radius` bits or fewer connect.
 
+    With a column `family`, prints link inside their family only.
+
     Every print goes into one bucket per covering mask; a pair within the radius meets in one at least. Tasks read their
     buckets in order, one in memory at a time; the number of tasks follows the number of prints. A bucket of more than
     `hot` prints is named instead and split by split_keys, `levels` times while there are such, so no link is lost and
-    no task gets it whole; what is larger even then has prints that agree in nearly all bits. Each bucket gives a spanning
-    forest, not pairs.
+    no task gets it whole; what is larger even then is cut into parts, and each pair of parts is a bucket. Each bucket
+    gives a spanning forest, not pairs.
     """
     keys, tables = in_tables(prints, radius), (1 << (radius + 1)) - 1
+    if "family" in keys.columns:
+        keys = keys.withColumn("key", F.xxhash64("key", "family"))
     tasks = max(shuffle_parts(prints.sparkSession), -(-prints.count() * tables // rows_per_task))
     found = []
-    for level in range(levels + 1):
+    for level in range(levels + 2):
+        last = level > levels
         dealt = keys.repartition(tasks, "key").sortWithinPartitions("key")
-        out = materialize(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, hot if level < levels else None), "a bigint, b bigint, large boolean"))
+        out = materialize(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, None if last else hot), "a bigint, b bigint, large boolean"))
         found.append(out.filter("NOT large").select("a", "b"))
         large = out.filter("large").select((F.col("a") + 1).alias("k1")).distinct()
-        if large.isEmpty():
+        if last or large.isEmpty():
             break
-        keys = split_keys(keys.join(large, keys["key"] + 1 == large["k1"], "left_semi"), radius, level)
+        keys = keys.join(large, keys["key"] + 1 == large["k1"], "left_semi")
+        keys = split_keys(keys, radius, level) if level < levels else pair_parts(materialize(keys), "fp", hot)
     return reduce(DataFrame.unionAll, found)
 
 
@@ -234,55 +241,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, rows["__fp"] + 1 == named["fp1"]).select("__id", "__hash", "__fp", "__root", "__component")
 
 
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `width` words; of all words where there are fewer."""
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width])) for i in range(n)), dtype=np.uint64, count=n))
-
-
-def jaccard_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph that joins sets at Jaccard similarity `threshold` or more. Breadth first, as spanning_links."""
-    size = np.array([len(s) for s in sets])
-    rest, out = np.arange(len(sets)), []
-    flat, owner = np.concatenate(sets), np.repeat(rest, size)
-    while len(rest):
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            shared = np.bincount(owner[np.isin(flat, sets[x], kind="sort")], minlength=len(sets))[rest]
-            near = shared >= threshold * (size[rest] + size[x] - shared) - 1e-9
-            if near.any():
-                found = rest[near].tolist()
-                out += [(x, y) for y in found]
-                front += found
-                rest = rest[~near]
-                keep = np.isin(owner, rest)
-                flat, owner = flat[keep], owner[keep]
-    return out
-
-
-def _verified(threshold: float):
-    def run(group: pa.Table) -> pa.Table:
-        """Links between the texts of one group; a text that a repeated row brought twice counts once."""
-        seen = dict(zip(group.column("key").to_pylist(), group.column("shingles").to_pylist(), strict=True))
-        keys = sorted(seen)
-        links = jaccard_links([np.frombuffer(seen[k], dtype=np.uint64) for k in keys], threshold)
-        return pa.table({"a": pa.array([keys[x] for x, _ in links], pa.string()), "b": pa.array([keys[y] for _, y in links], pa.string())})
-
-    return run
-
-
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", print_width: int = 2, radius: int = 7, width: int = 5, threshold: float = 0.8, group_bytes: int = 32 << 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", print_width: int = 2, radius: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45),
+    width: int = 5, at_least: tuple[int, int] = (80, 100), block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: __id, __raw (a hash of the text) and __group: rows of one group are near copies.
 
-    Two texts link when their sets of `width`-word shingles have Jaccard similarity `threshold` or more and the SimHash
-    fingerprints of their `print_width`-word shingles differ in `radius` bits at most; a group is what links reach. Texts
-    that are equal after lower-casing A-Z and joining words by one blank are one text with one set, so copies make no
-    pairs. Covering masks find all pairs of fingerprints within the radius; what those connect is verified on the whole
-    sets, group by group. A group with more than group_bytes of sets is verified inside the buckets of the masks
-    instead, in each of which it is smaller, and the links are joined afterwards: a pair within the radius meets in one.
+    Every text has a family of SimHash fingerprints of its `print_width`-word shingles, one for each seed. Covering masks
+    find all pairs of fingerprints of one family within `radius` bits; what those pairs connect is a candidate group, and
+    its texts link where their sets of `width`-word shingles have Jaccard similarity at_least or more. All pairs of a
+    candidate group are covered, in blocks of bounded size, so its size changes nothing (links_in_groups). A near-copy
+    group is what links reach. Texts that are equal after lower-casing A-Z and joining words by one blank are one text
+    with one set, so copies make no pairs.
 
     Null, empty and blank texts are one text. Null ids are kept. Repeated rows stay repeated. An empty table gives an
     empty result. Only id and text are read, so other columns' names do not matter.
@@ -300,37 +270,38 @@ def near_copies(
         for batch in batches:
             for part in pieces(batch, "__text"):
                 lines = [b" ".join(w) for w in words_of(part)]
-                prints = np.array([fingerprint(t, print_width) for t in lines], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__raw"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in lines], pa.string()), pa.array(prints)], names=["__id", "__raw", "key", "fp"])
+                prints = [np.array([fingerprint(t, print_width, s) for s in seeds], dtype=np.uint64).view(np.int64).tolist() for t in lines]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__raw"), pa.array([xxhash.xxh3_128_hexdigest(t) for t in lines], pa.string()), pa.array(prints, pa.list_(pa.int64()))], names=["__id", "__raw", "key", "fps"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__text"):
                 sets = [shingle_set(w, width).tobytes() for w in words_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("fp"), part.column("key"), pa.array(sets, pa.binary())], names=["root", "fp", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("key"), pa.array(sets, pa.binary()), pa.nulls(part.num_rows, pa.binary())], names=["root", "key", "shingles", "extra"])
 
     body = docs.select(F.col(id_col).alias("__id"), raw.alias("__raw"), F.col(text_col).alias("__text"))
-    rows = materialize(body.mapInArrow(prints_of, f"__id {id_type}, __raw bigint, key string, fp bigint"))
-    first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__raw")).alias("m")
-    texts = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), first).select("key", "fp", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r")))
-    links = components(near_links(texts.select("fp").distinct(), radius))
-    rooted = texts.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialize(body.mapInArrow(prints_of, f"__id {id_type}, __raw bigint, key string, fps array<bigint>"))
+    each = rows.groupBy("key", "__id", "__raw").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__raw", "times")).alias("m")
+    texts = each.groupBy("key").agg(F.first("fps").alias("fps"), first)
+    texts = materialize(texts.select("key", "fps", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r"), F.col("m.times").alias("times"), F.xxhash64("key", F.lit(5)).alias("node")))
+    prints = texts.select("node", F.posexplode("fps").alias("family", "fp"))
+    held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts")))
+    links = materialize(near_links(held.select("fp", "family"), radius))
+    # a text is a node beside its fingerprints; those alone in their family and without a link connect nothing
+    linked = links.select(F.explode(F.array("a", "b")).alias("fp")).unionAll(held.filter("texts > 1").select("fp")).distinct().select((F.col("fp") + 1).alias("fp1"))
+    owned = prints.join(linked, prints["fp"] + 1 == linked["fp1"], "left_semi").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    roots = components(links.select("a", "b").unionAll(owned))
+    rooted = texts.join(roots, "node").select("root", "key", "i", "r", "times")
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("root") + 1).alias("r1"))
     maybe = rooted.join(several, rooted["root"] + 1 == several["r1"], "left_semi")
-    bodies = maybe.join(body, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw"))).select("root", "fp", "key", "__text")
-    sets = materialize(bodies.mapInArrow(sets_of, "root bigint, fp bigint, key string, shingles binary"))
-    size = sets.groupBy("root").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
-    wide = materialize(size.filter(F.col("bytes") > group_bytes).select((F.col("root") + 1).alias("r1")))
-    apply = lambda df, by: df.groupBy(by).applyInArrow(_verified(threshold), "a string, b string")
-    if wide.isEmpty():
-        joined = apply(sets.select("root", "key", "shingles"), "root")
-    else:
-        joined = apply(sets.join(wide, sets["root"] + 1 == wide["r1"], "left_anti").select("root", "key", "shingles"), "root")
-        large = sets.join(wide, sets["root"] + 1 == wide["r1"], "left_semi").select("fp", F.col("key").alias("text"), "shingles")
-        inside = split_keys(in_tables(large, radius, 8), radius, 0).select(F.col("key").alias("root"), F.col("text").alias("key"), "shingles")
-        joined = joined.unionAll(apply(inside, "root"))
-    groups = materialize(components(joined).select(F.col("node").alias("k2"), "root"))
-    discard(sets, texts, wide)
+    bodies = body.join(maybe, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw")))
+    sets = bodies.select("root", "key", "__text").mapInArrow(sets_of, "root bigint, key string, shingles binary, extra binary")
+    if not texts.filter("times > 1").isEmpty():  # rows that agree in id and text gave one set each
+        sets = sets.groupBy("root", "key").agg(F.first("shingles").alias("shingles"), F.first("extra").alias("extra"))
+    sets = materialize(sets)
+    groups = materialize(components(links_in_groups(sets, at_least, block_bytes)).select(F.col("node").alias("k2"), "root"))
+    discard(sets, texts, held, links)
     return rows.join(groups, rows["key"] == groups["k2"], "left").select("__id", "__raw", F.coalesce("root", "key").alias("__group"))
 
 
