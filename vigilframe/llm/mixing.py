@@ -92,6 +92,11 @@ def _step(n: int, rng: np.random.Generator) -> int:
             return a
 
 
+def leaf_seeds(shards: int, seed: int) -> list[int]:
+    """A number for each leaf of the splitting tree, from the same generators as its inner nodes."""
+    return [int(np.random.default_rng([seed, k, k + 1]).integers(0, 1 << 62)) for k in range(shards)]
+
+
 def mix_sources(
     docs: DataFrame, shards: int = 8, seed: int = 0, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 4096,
@@ -100,11 +105,13 @@ def mix_sources(
 
     A source's size is its number of words. Sources in code-point order, null last, weigh `weights` repeating; water_fill
     gives their targets. A source's rows fall into blocks of about block_rows rows by a hash of id, text and seed. Its quota
-    is a whole number of blocks: floor(target / size) passes over all its blocks, and as many of one more pass as the rest
-    of the target reaches into. splitting_tree deals the quotas of all sources among the shards; each shard draws as many
-    blocks of a source as it was dealt, disjoint ranges of the source's permuted blocks. A copy exists where a shard drew
-    its block. Of the last block of the last pass only those rows are taken that fill up the target, so a source misses it
-    by less than the smallest row left there. In a shard, copies are ordered by a hash.
+    is floor(target / size) passes over all its blocks, and as many blocks of one more pass as the rest of the target
+    reaches into. splitting_tree deals the blocks of the whole passes among the shards, each of which draws disjoint ranges
+    of the source's permuted blocks, and the blocks of the last pass likewise. Of those every shard draws in an order of
+    its own, by its leaf's seed, and the shards take turns as their quotas ask for, until the source's target is reached;
+    so which blocks a mix takes once more follows from the tree. Of the block in which that happens only those rows are
+    taken that fill up the target: a source misses it by less than the smallest row left there. In a shard, copies are
+    ordered by a hash.
 
     Null text counts as empty, null source is a source. Repeated rows (same id, text and source) are taken or left
     together. Very long texts are one row; ties of hashes are taken together. Empty tables and sources without words give
@@ -119,31 +126,35 @@ def mix_sources(
     found = narrow.groupBy("__s").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("words")).collect()
     found.sort(key=lambda r: (r["__s"] == "~", r["__s"].encode()))  # "~" alone is null; others start with s
     targets = water_fill([r["words"] for r in found], [weights[i % len(weights)] for i in range(len(found))], cap)
-    plan = []
+    rng, plan = np.random.default_rng([seed, 7]), []
     for r, t in zip(found, targets, strict=True):
         passes = min(cap, floor(t / r["words"] + 1e-9)) if r["words"] else 0
-        plan.append({"__s": r["__s"], "words": r["words"], "target": t, "passes": passes, "left": max(0.0, t - passes * r["words"]), "blocks": ceil(r["n"] / block_rows)})
+        left, blocks = max(0.0, t - passes * r["words"]) if r["words"] else 0.0, ceil(r["n"] / block_rows)
+        plan.append({"__s": r["__s"], "words": r["words"], "target": t, "passes": passes, "left": left, "blocks": blocks, "quota": passes * blocks, "last": blocks if left else 0, "step": _step(passes * blocks, rng), "last_step": _step(blocks, rng)})
+    dealt_to = lambda column, at: splitting_tree(np.array([p[column] for p in plan], dtype=np.int64), shards, at).cumsum(axis=1) if plan else []
+    whole, last = dealt_to("quota", seed), dealt_to("last", seed + 1)
     # one row per source: a table of a hundred thousand sources takes some megabytes; beyond, Spark chooses the join
     small_enough = F.broadcast if len(plan) <= 100_000 else lambda df: df
-    small = small_enough(spark.createDataFrame([(p["__s"], p["left"], p["blocks"]) for p in plan], "__s string, __left double, __blocks long"))
+    known = [(p["__s"], p["words"], p["target"], p["passes"], p["left"], p["blocks"], p["quota"], p["step"], p["last"], p["last_step"], [int(x) for x in w], [int(x) for x in e]) for p, w, e in zip(plan, whole, last, strict=True)]
+    full = small_enough(spark.createDataFrame(known, "__s string, __words long, __target double, __passes int, __left double, __blocks long, __quota long, __step long, __last long, __last_step long, __ends array<long>, __last_ends array<long>"))
     block = F.pmod(F.xxhash64("__u", F.lit(seed + 1)), F.col("__blocks"))
 
-    placed = narrow.join(small, "__s").withColumn("__block", block)
-    sums = placed.groupBy("__s", "__block").agg(F.sum("__size").alias("w"), F.first("__left").alias("left"))
-    order = Window.partitionBy("__s").orderBy("__block")
-    sums = sums.withColumn("before", F.sum("w").over(order) - F.col("w"))  # block numbers are hashes: their order is a permutation
-    edge = sums.filter("before + w > left AND before <= left").groupBy("__s").agg(F.min("__block").alias("b"), F.min_by("before", "__block").alias("before")).collect()
-    at = {r["__s"]: (r["b"], r["before"]) for r in edge}
-    rng = np.random.default_rng([seed, 7])
-    for p in plan:
-        p["edge"], p["gap"] = (at[p["__s"]][0], p["left"] - at[p["__s"]][1]) if p["left"] and p["__s"] in at else (-1, 0.0)
-        p["quota"] = p["passes"] * p["blocks"] + p["edge"] + 1
-        p["step"] = _step(p["quota"], rng)
-    tree = splitting_tree(np.array([p["quota"] for p in plan], dtype=np.int64), shards, seed).cumsum(axis=1) if plan else np.zeros((0, shards), dtype=np.int64)
-    known = [(p["__s"], p["words"], p["target"], p["passes"], p["blocks"], p["edge"], p["gap"], p["quota"], p["step"], [int(x) for x in row]) for p, row in zip(plan, tree, strict=True)]
-    full = small_enough(spark.createDataFrame(known, "__s string, __words long, __target double, __passes int, __blocks long, __edge long, __gap double, __quota long, __step long, __ends array<long>"))
-
-    units = narrow.join(full, "__s").withColumn("__block", block).filter("__block = __edge")
+    # the last pass: one row per block, its shard, and its turn in the shard's own order
+    sums = narrow.join(full, "__s").filter("__last > 0").withColumn("__block", block).groupBy("__s", "__block").agg(
+        F.sum("__size").alias("w"), *[F.first(c).alias(c) for c in ("__left", "__last", "__last_step", "__last_ends")]
+    )
+    there = F.pmod(F.col("__block") * F.col("__last_step"), F.col("__last"))
+    sums = sums.withColumn("__leaf", F.size(F.filter("__last_ends", lambda e: e <= there))).filter(F.col("__leaf") < shards)
+    pool = F.element_at("__last_ends", F.col("__leaf") + 1) - F.when(F.col("__leaf") > 0, F.element_at("__last_ends", F.greatest(F.col("__leaf"), F.lit(1)))).otherwise(0)
+    mark = F.xxhash64("__block", F.element_at(F.array(*[F.lit(x) for x in leaf_seeds(shards, seed + 1)]), F.col("__leaf") + 1))
+    turn = (F.row_number().over(Window.partitionBy("__s", "__leaf").orderBy(mark, "__block")) - 0.5) / pool
+    sums = sums.withColumn("__turn", turn).withColumn("before", F.sum("w").over(Window.partitionBy("__s").orderBy("__turn", "__leaf", "__block")) - F.col("w"))
+    fits = F.col("before") + F.col("w") <= F.col("__left")
+    drawn = materialize(sums.filter("before < __left").select(F.col("__s").alias("__s1"), F.col("__block").alias("__b1"), "__leaf", fits.alias("__fits"), (F.col("__left") - F.col("before")).alias("__gap")))
+    if sum(p["last"] for p in plan) <= 300_000:  # blocks, 50 bytes each, counted on the driver from the sources' rows
+        drawn = F.broadcast(drawn)
+    at_edge = drawn.filter("NOT __fits")
+    units = narrow.join(full, "__s").withColumn("__block", block).join(at_edge, (F.col("__s") == F.col("__s1")) & (F.col("__block") == F.col("__b1")))
     units = units.groupBy("__s", "__u").agg(F.sum("__size").alias("__unit"), F.first("__gap").alias("__left"))
     picked = materialize(units.filter("__unit > 0").groupBy("__s").applyInPandas(_pick, narrow.select("__s", "__u").schema))
     picked = picked.select(F.col("__s").alias("__s2"), F.col("__u").alias("__u2")).distinct()
@@ -153,14 +164,16 @@ def mix_sources(
     def dealt(rows: DataFrame) -> DataFrame:
         """rows(__s, __u, ...) with what the mix knows of their source, and __dealt."""
         rows = rows.join(full, "__s").withColumn("__block", block)
+        rows = rows.join(drawn, (F.col("__s") == F.col("__s1")) & (F.col("__block") == F.col("__b1")), "left")
         rows = rows.join(picked, (F.col("__s") == F.col("__s2")) & (F.col("__u") == F.col("__u2")), "left")
 
         def place(c):
             v = c.cast("long") * F.col("__blocks") + F.col("__block")
             there = F.pmod(v * F.col("__step"), F.greatest("__quota", F.lit(1)))
             shard = F.size(F.filter("__ends", lambda e: e <= there))  # `shards` where no shard drew that block
-            whole = (v < F.col("__quota")) & ((v < F.col("__quota") - 1) | (F.col("__edge") < 0) | F.col("__s2").isNotNull())
-            return F.struct(F.when(whole, shard).otherwise(shards).alias("__shard"), F.xxhash64("__u", c, F.lit(seed + 2)).alias("__order"))
+            once_more = F.when(F.col("__fits") | F.col("__s2").isNotNull(), F.col("__leaf"))
+            shard = F.when(c < F.col("__passes"), shard).otherwise(F.coalesce(once_more, F.lit(shards)))
+            return F.struct(shard.alias("__shard"), F.xxhash64("__u", c, F.lit(seed + 2)).alias("__order"))
 
         copies = F.transform(F.sequence(F.lit(0), F.col("__passes")), place)
         return rows.withColumn("__dealt", F.filter(copies, lambda x: x["__shard"] < shards))
