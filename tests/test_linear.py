@@ -66,10 +66,24 @@ def test_header_join_equals_all_pairs(spark):
 def test_ranks_equal_a_sort(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
     ranks = [0, len(values) // 4, len(values) // 2, len(values) - 1, len(values)]
-    assert anomaly.at_ranks(df, "x", ranks, slots=10) == [sorted(values)[r] if 0 <= r < len(values) else None for r in ranks]
+    for keep, accuracy in ((10_000, 10_000), (1, 10), (5, 100)):
+        assert anomaly.at_ranks(df, "x", ranks, keep, accuracy) == [sorted(values)[r] if 0 <= r < len(values) else None for r in ranks]
     assert anomaly.median(df, "x") == (float(np.median(values)) if values else None)
 
 
+@pytest.mark.parametrize("values", [[1.0, 2.0, 3.0, float("inf")], [float("nan"), 2.0, 3.0, 1.0], [float("-inf"), float("nan"), float("inf")] * 5 + [0.0], [1.7e308, -1.7e308, 5e-324, -5e-324, 0.0, -0.0], [10.0**k for k in range(-300, 300, 3)], [0.0] * 50 + [1.0] * 50])
+def test_ranks_of_any_doubles(spark, values):
+    """Infinities, NaN (the greatest) and values of any spread end, whatever fits a pass."""
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = sorted(values, key=lambda v: (np.isnan(v), v))
+    for keep in (10_000, 3):
+        got = anomaly.at_ranks(df, "x", list(range(len(values))), keep, 100)
+        assert all(a == b or (np.isnan(a) and np.isnan(b)) for a, b in zip(got, want, strict=True))
+    n = len(values)
+    mid = (want[(n - 1) // 2] + want[n // 2]) / 2
+    assert anomaly.median(df, "x") == mid or np.isnan(mid)
+
+
 def test_forest_paths_equal_a_walk():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))

@@ -33,35 +33,61 @@ def profile(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*out)
 
 
-def at_ranks(df: DataFrame, col: str, ranks: list[int], slots: int = 1000) -> list[float | None]:
-    """The exact values at 0-based ranks of a column in order, nulls left out; null beyond its end. Nothing is sorted.
+def at_ranks(df: DataFrame, col: str, ranks: list[int], keep: int = 10_000, accuracy: int = 10_000) -> list[float | None]:
+    """The exact values at 0-based ranks of a column in order, nulls left out; null beyond its end. Nothing is sorted on the cluster.
 
-    Each pass counts the rows of the ranges that still hold a wanted rank in `slots` equal parts and keeps the part that
-    has it, until all values of a part are equal. The driver sees `slots` + 1 counts a rank and pass.
+    Minus infinity comes first, then the finite values, infinity, and NaN last. For each rank, approximate percentiles of
+    the range that holds it give a narrower range, whose ends and inside are counted exactly; that keeps about 4 rows of
+    `accuracy` at each pass and at least leaves out an end, whatever the values' spread. A range of `keep` rows or fewer is
+    read, so the driver sees `keep` values a rank at most.
     """
-    c = F.col(col).cast("double")
-    df = df.filter(c.isNotNull()).select(c.alias("x"))
-    whole = df.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    x = df.select(F.col(col).cast("double").alias("x")).filter("x IS NOT NULL")
+    inf, c = F.lit(float("inf")), F.col("x")
+    seen = x.agg(F.count_if(c == -inf), F.count_if(~F.isnan(c) & (F.abs(c) != inf)), F.count_if(c == inf), F.count_if(F.isnan(c))).first()
+    low, n, high, nan = seen
+    x = x.filter(~F.isnan(c) & (F.abs(c) != inf))
     out: list[float | None] = [None] * len(ranks)
-    open_ = {i: (whole["lo"], whole["hi"], r) for i, r in enumerate(ranks) if 0 <= r < whole["n"]}
-    while open_:
-        for i in [i for i, (lo, hi, _) in open_.items() if lo == hi]:
-            out[i] = open_.pop(i)[0]
-        if not open_:
-            break
-        slot = lambda lo, hi: F.floor((F.col("x") - lo) / (hi - lo) * slots)
-        inside = F.array(*[F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("i"), slot(lo, hi).alias("s"))) for i, (lo, hi, _) in open_.items()])
-        counts = df.select("x", F.inline(F.array_compact(inside))).groupBy("i", "s").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        for r in sorted(counts.collect(), key=lambda r: (r["i"], r["s"])):
-            if r["i"] in open_ and len(open_[r["i"]]) == 3:
-                lo, hi, rest = open_[r["i"]]
-                open_[r["i"]] = (r["lo"], r["hi"], rest, True) if rest < r["n"] else (lo, hi, rest - r["n"])
-        open_ = {i: v[:3] for i, v in open_.items()}
+    open_: dict[int, tuple[float, float, int, int]] = {}  # exclusive ends, rank and rows inside
+    for i, r in enumerate(ranks):
+        if low <= r < low + n:
+            open_[i] = (float("-inf"), float("inf"), r - low, n)
+        elif 0 <= r < low + n + high + nan:
+            out[i] = float("-inf") if r < low else float("inf") if r < low + n + high else float("nan")
+    within = lambda lo, hi: (c > F.lit(lo)) & (c < F.lit(hi))
+    while wide := {i: v for i, v in open_.items() if v[3] > keep}:
+        ends = []
+        for lo, hi, r, size in wide.values():
+            near = [min(1.0, max(0.0, (r + k * (2 * size / accuracy + 1)) / size)) for k in (-1, 1)]
+            ends.append(F.percentile_approx(F.when(within(lo, hi), c), F.array(*[F.lit(p) for p in near]), F.lit(accuracy)))
+        ends = list(x.agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first())
+        counts = [f for (lo, hi, _, _), (a, b) in zip(wide.values(), ends, strict=True) for f in (F.count_if(within(lo, a)), F.count_if(c == F.lit(a)), F.count_if(within(a, b)), F.count_if(c == F.lit(b)))]
+        counts = list(x.agg(*[e.alias(f"e{i}") for i, e in enumerate(counts)]).first())
+        for k, (i, (lo, hi, r, size)) in enumerate(wide.items()):
+            (a, b), (below, at_a, inside, at_b) = ends[k], counts[4 * k : 4 * k + 4]
+            if a == b:
+                inside = at_b = 0
+            parts = [(lo, a, below), (a, a, at_a), (a, b, inside), (b, b, at_b), (b, hi, size - below - at_a - inside - at_b)]
+            for start, end, rows in parts:
+                if r < rows:
+                    break
+                r -= rows
+            if start == end:
+                out[i] = start
+                del open_[i]
+            else:
+                open_[i] = (start, end, r, rows)
+    if open_:
+        tagged = F.array_compact(F.array(*[F.when(within(lo, hi), F.lit(i)) for i, (lo, hi, _, _) in open_.items()]))
+        values: dict[int, list[float]] = {i: [] for i in open_}
+        for i, v in x.select(F.explode(tagged), "x").collect():
+            values[i].append(v)
+        for i, (_, _, r, _) in open_.items():
+            out[i] = sorted(values[i])[r]
     return out
 
 
 def median(df: DataFrame, col: str) -> float | None:
-    """The exact median; the mean of the middle two where the count is even, null without values."""
+    """The exact median; the mean of the middle two where the count is even, null without values. NaN counts as the greatest."""
     n = df.filter(F.col(col).isNotNull()).count()
     low, high = at_ranks(df, col, [(n - 1) // 2, n // 2]) if n else (None, None)
     return None if low is None else (low + high) / 2

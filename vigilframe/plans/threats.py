@@ -74,13 +74,16 @@ MOVES = f"""CASE s WHEN 1000 THEN CASE WHEN {SYN} AND NOT {ACK} THEN 1001 ELSE 1
 FLOW = "least(src_num, dst_num), greatest(src_num, dst_num), cport, vport"
 
 
-@register("E06_directed_states", f"""WITH {P}, t AS (SELECT p.*, least(src_num, dst_num) AS lo, greatest(src_num, dst_num) AS hi, least(src_port, dst_port) AS pa, greatest(src_port, dst_port) AS pb FROM pkt p WHERE proto = 6),
- c AS (SELECT lo, hi, pa, pb, ts, packet_id, CAST(flags * 2 + CASE WHEN src_num = first_value(src_num) OVER (PARTITION BY lo, hi, pa, pb ORDER BY ts, packet_id) THEN 1 ELSE 0 END AS BIGINT) AS code FROM t),
- g AS (SELECT lo, hi, pa, pb, list_prepend(1000::BIGINT, list(code ORDER BY ts, packet_id)) AS l FROM c GROUP BY ALL)
- SELECT lo, hi, pa, pb, list_extract({listed(X.TCP_STATES)}, CAST(list_reduce(l, lambda s, c: {MOVES}) - 999 AS INTEGER)) AS state FROM g""")
+@register("E06_directed_states", f"""WITH {P}, t0 AS (SELECT p.*, least(src_num, dst_num) AS lo, greatest(src_num, dst_num) AS hi, least(src_port, dst_port) AS pa, greatest(src_port, dst_port) AS pb FROM pkt p WHERE proto = 6),
+ t1 AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY lo, hi, pa, pb ORDER BY ts, packet_id) AS gap FROM t0),
+ t AS (SELECT *, CAST(sum(CASE WHEN gap > 300 * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY lo, hi, pa, pb ORDER BY ts, packet_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM t1),
+ c AS (SELECT lo, hi, pa, pb, session, ts, packet_id, CAST(flags * 2 + CASE WHEN src_num = first_value(src_num) OVER (PARTITION BY lo, hi, pa, pb, session ORDER BY ts, packet_id) THEN 1 ELSE 0 END AS BIGINT) AS code FROM t),
+ g AS (SELECT lo, hi, pa, pb, session, list_prepend(1000::BIGINT, list(code ORDER BY ts, packet_id)) AS l FROM c GROUP BY ALL)
+ SELECT lo, hi, pa, pb, session, list_extract({listed(X.TCP_STATES)}, CAST(list_reduce(l, lambda s, c: {MOVES}) - 999 AS INTEGER)) AS state FROM g""")
 def directed_states(spark, sf):
     p = T.packets(spark, sf).filter("proto = 6").withColumns({"lo": F.least("src_num", "dst_num"), "hi": F.greatest("src_num", "dst_num"), "pa": F.least("src_port", "dst_port"), "pb": F.greatest("src_port", "dst_port")})
-    return X.directed_tcp_state(p, ["lo", "hi", "pa", "pb"])
+    p = X.gap_sessions(p, ["lo", "hi", "pa", "pb"], ["ts", "packet_id"], X.flow_timeout_us(3600))
+    return X.directed_tcp_state(p, ["lo", "hi", "pa", "pb", "session"])
 
 
 KINDS = [k for kinds in PR.LOG_SEVERITY.values() for k in kinds] + ["Unknown"]
