@@ -33,7 +33,28 @@ def parse_rules(lines: DataFrame, col: str = "value", variables: dict[str, str]
         "sid": one("sid").try_cast("int"), "rev": one("rev").try_cast("int"), "msg": quoted(one("msg")), "classtype": one("classtype"), "priority": F.coalesce(one("priority").try_cast("int"), F.lit(3)),
         "noalert": F.exists("opts", lambda o: o["k"] == "noalert"), "threshold": threshold_spec(one("threshold")),
     })
-    return r.withColumn("contents", content_list(F.col("opts"))).drop("opts", "options", "line")
+    return r.withColumns({"contents": content_list(F.col("opts")), "keywords": F.transform("opts", lambda o: o["k"])}).drop("opts", "options", "line")
+
+
+def merge_rule_sets(sets: list[DataFrame], order: str) -> DataFrame:
+    """One rule of each sid: that of the last set which has it, and of repeated sids in a set the last by `order`. Later sets replace, they do not renumber."""
+    rows = [s.withColumn("__set", F.lit(i)) for i, s in enumerate(sets)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    kept = [c for c in both.columns if c not in ("__set", "sid")]
+    last = both.groupBy("sid").agg(F.max_by(F.struct(*kept), F.struct("__set", order)).alias("__r"))
+    return last.select("sid", "__r.*")
+
+
+def rule_totals(rules: DataFrame) -> DataFrame:
+    """name, n: all rules, those by action and protocol, with content, pcre or flow, disabled ones, and those that have a fast pattern."""
+    has = lambda k: F.array_contains("keywords", k)
+    names = F.array(
+        F.lit("total"), F.concat(F.lit("action:"), "action"), F.concat(F.lit("protocol:"), "proto"), F.when(has("content"), "with_content"), F.when(has("pcre"), "with_pcre"), F.when(has("flow"), "with_flow"),
+        F.when(~F.col("enabled"), "disabled"), F.when(F.exists("contents", lambda c: ~c["negated"]), "fast_patterns"),
+    )
+    return rules.select(F.explode(F.array_compact(names)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def content_list(opts: Column) -> Column:
