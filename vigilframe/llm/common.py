@@ -78,10 +78,15 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def relieve(spark: SparkSession) -> None:
-    """Lets driver and its JVM drop the plans, generated classes and buffers of finished jobs, before an operator of many short jobs adds its own."""
-    gc.collect()
-    spark._jvm.System.gc()
+def relieve(spark: SparkSession, above: float = 0.0) -> None:
+    """Lets driver and its JVM drop the plans, generated classes and buffers of finished jobs, before an operator of many short jobs adds its own.
+
+    Only where the JVM's heap has grown beyond `above` of its limit; a collection then also gives memory back to the machine.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() >= above * runtime.maxMemory():
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

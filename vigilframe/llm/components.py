@@ -42,6 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0] or mark == before:
             break
         before, old = mark, now
+        relieve(edges.sparkSession, 0.5)
         now = materialize(_small_star(_large_star(now)))
         discard(old)
     else:
