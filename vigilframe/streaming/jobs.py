@@ -70,3 +70,12 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def rolling_accuracy(judged: DataFrame, keys: list[str], span: str = "24 hours", every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Outcomes of the last `span` for each key, every `every`: the buffer is the state of sliding windows, which event time empties.
+
+    judged has ts and outcome (TP, FP, FN, TN). Rows later than `late` are dropped.
+    """
+    g = judged.withWatermark("ts", late).groupBy(F.window("ts", span, every), *keys)
+    return g.agg(*[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("TP", "FP", "FN", "TN")]).select(F.col("window.end").alias("at"), *keys, "tp", "fp", "fn", "tn")
