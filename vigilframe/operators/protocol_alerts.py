@@ -171,3 +171,50 @@ def access_points(beacons: DataFrame, trusted: DataFrame, end_us: Column, timeou
     marked = names.join(twins, "__name", "left_semi").select(F.col("bssid").alias("__m")).distinct()
     out = active.join(marked, F.col("bssid") == F.col("__m"), "left")
     return out.select("bssid", "ssid", "channel", "rsn", "beacons", "signal", "is_known", F.col("__m").isNotNull().alias("evil_twin"))
+
+
+# What makes an address or a client of HTTP suspicious, in the order in which they are looked for.
+URI_PATTERNS = [
+    "../", "..\\", "' OR", "' AND", "UNION SELECT", "1=1", "; ls", "| cat", "$(", "<!ENTITY", "localhost", "127.0.0.1", "169.254.",
+    "/wp-admin", "/phpmyadmin", "/admin", "/.env", "/.git", "/actuator", "/solr", "/console", "/manager",
+]
+AGENT_PATTERNS = ["sqlmap", "nikto", "nmap", "masscan", "burp", "curl", "wget", "python-requests", "go-http", "scanner", "bot", "crawl"]
+
+
+def uri_pattern(uri: Column) -> Column:
+    """The first of URI_PATTERNS that an address contains, whatever its case; null without one."""
+    low = F.lower(uri)
+    out = F.lit(None).cast("string")
+    for p in reversed(URI_PATTERNS):
+        out = F.when(low.contains(p.lower()), F.lit(p)).otherwise(out)
+    return out
+
+
+def suspicious_agent(agent: Column) -> Column:
+    low = F.lower(agent)
+    return F.coalesce(reduce(lambda a, b: a | b, [low.contains(p) for p in AGENT_PATTERNS]), F.lit(False))
+
+
+def http_state(messages: DataFrame, flow: list[str], order: list[str]) -> DataFrame:
+    """Messages (flow, order, uri, agent, status) of each flow as traversal, injection, bad_agent (the last agent where any was suspicious), responses and errors.
+
+    A request has a uri, a response a status. Only the first pattern of an address counts: one with `..` is traversal, one
+    with a quote, UNION or 1=1 injection.
+    """
+    pattern = uri_pattern(F.col("uri"))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    last = F.max_by("agent", F.when(F.col("agent").isNotNull(), F.struct(*order)))
+    s = messages.groupBy(*flow).agg(
+        any_of(pattern.contains("..")).alias("traversal"), any_of(pattern.contains("'") | pattern.contains("UNION") | pattern.contains("1=1")).alias("injection"), any_of(suspicious_agent(F.col("agent"))).alias("__bad"),
+        last.alias("__agent"), F.count("status").alias("responses"), F.count_if(F.col("status") >= 400).alias("errors"),
+    )
+    return s.withColumn("bad_agent", F.when(F.col("__bad"), F.col("__agent"))).drop("__bad", "__agent")
+
+
+def http_alerts(s: DataFrame) -> Column:
+    """Traversal, injection, a suspicious agent, and more than 10 errors that are over half of the responses."""
+    share = F.col("errors") * 100 / F.greatest(F.col("responses"), F.lit(1))
+    return _list(
+        F.when(F.col("traversal"), _alert("High", "HTTP path traversal attempt detected")), F.when(F.col("injection"), _alert("High", "HTTP SQL injection attempt detected")),
+        F.when(F.col("bad_agent").isNotNull(), _alert("Medium", "Suspicious HTTP User-Agent detected: ", F.col("bad_agent"))), F.when((F.col("errors") > 10) & (share > 50), _alert("Low", "High HTTP error rate: ", F.format_string("%.1f%%", share))),
+    )

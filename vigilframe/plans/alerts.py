@@ -161,3 +161,26 @@ def access_points(spark, sf):
     )
     end = b.agg(F.max("us")).first()[0]
     return PA.access_points(b, b.filter("bssid % 4 = 0").select("bssid"), F.lit(end).cast("long"), 300 * HOUR)
+
+
+URIS, AGENTS = ("/a/../etc/passwd", "/q?x=1' or 'a", "/WP-ADMIN/x", "/plain", "/p?q=union select 1", "/also/plain"), ("Mozilla/5.0", "curl/8", "Safari", "Edge")
+FIRST = "CASE " + " ".join(f"WHEN contains(lower({{0}}), '{p.lower().replace(chr(39), chr(39) * 2)}') THEN '{p.replace(chr(39), chr(39) * 2)}'" for p in PA.URI_PATTERNS) + " END"
+QUOTED = "([" + ", ".join("'" + u.replace("'", "''") + "'" for u in URIS) + "])"
+
+
+@register("B39_uri_patterns", f"WITH p AS (SELECT page_id, url || {QUOTED}[page_id % {len(URIS)} + 1] AS uri FROM pages) SELECT page_id, {FIRST.format('uri')} AS pattern, regexp_matches(lower(uri), '{'|'.join(PA.AGENT_PATTERNS)}') AS agent_like FROM p")
+def uri_patterns(spark, sf):
+    """The first suspicious pattern of each page's address with a path behind it, and whether it reads like a client that B40 names."""
+    p = T.table(spark, sf, "pages").select("page_id", F.concat("url", picked(URIS, F.col("page_id"))).alias("uri"))
+    return p.select("page_id", PA.uri_pattern(F.col("uri")).alias("pattern"), PA.suspicious_agent(F.col("uri")).alias("agent_like"))
+
+
+@register("B44_http_state_alerts", f"""WITH {D}, m AS (SELECT src, ts, event_id, CASE WHEN event_id % 2 = 0 THEN {QUOTED}[user_id % {len(URIS)} + 1] END AS uri, CASE WHEN event_id % 2 = 0 THEN {chosen(AGENTS, "(event_id // 2)")} END AS agent, CASE WHEN event_id % 2 = 1 THEN 200 + port * 4 END AS status FROM det),
+ f AS (SELECT *, {FIRST.format("uri")} AS p FROM m),
+ s AS (SELECT src, bool_or(contains(p, '..')) AS traversal, bool_or(contains(p, '''') OR contains(p, 'UNION') OR contains(p, '1=1')) AS injection, bool_or(contains(lower(agent), 'curl')) AS bad, arg_max(agent, (ts, event_id)) FILTER (agent IS NOT NULL) AS agent, count(status) AS n, count(*) FILTER (status >= 400) AS e FROM f GROUP BY src)
+ SELECT src, a.s AS severity, a.m AS message FROM (SELECT src, unnest({listed([("traversal", "High", "'HTTP path traversal attempt detected'"), ("injection", "High", "'HTTP SQL injection attempt detected'"), ("bad", "Medium", "'Suspicious HTTP User-Agent detected: ' || agent"), ("e > 10 AND e * 100 / n > 50", "Low", "'High HTTP error rate: ' || printf('%.1f%%', e * 100 / n)")])}) AS a FROM s)""")
+def http_state_alerts(spark, sf):
+    d, e = T.detections(spark, sf), F.col("event_id")
+    m = d.select("src", "ts", "event_id", F.when(e % 2 == 0, picked(URIS, F.col("user_id"))).alias("uri"), F.when(e % 2 == 0, picked(AGENTS, F.floor(e / 2))).alias("agent"), F.when(e % 2 == 1, 200 + F.col("port") * 4).alias("status"))
+    s = PA.http_state(m, ["src"], ["ts", "event_id"])
+    return out(s, PA.http_alerts(s))
