@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z on bytes; UTF-8 bytes above 127 stay.
@@ -69,6 +69,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_seen(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """materialize(df), and what the aggregates `measures` give over its rows: they are counted as the rows are written, without a job of their own."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[m.alias(name) for name, m in measures.items()]))
+    return out, seen.get
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that no later plan reads."""
     for t in tables:

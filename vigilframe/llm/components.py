@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, relieve
+from .common import discard, materialize_seen, relieve
 
 
 def _hub(pairs: DataFrame, key: str, low: DataFrame) -> DataFrame:
@@ -31,19 +31,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges(a, b): root is the smallest node reachable. Self links are ignored.
 
-    Each round writes its stars to the shared folder, so the plan stays short and a lost executor costs a reread. The
+    Each round writes its stars to the shared folder and counts them on the way, so a round is one job, the plan stays
+    short and a lost executor costs a reread. The
     number of rounds grows with the logarithm of the longest path.
     """
     relieve(edges.sparkSession)
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    measures = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))}
+    now, mark = materialize_seen(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), **measures)
     before = None
     for _ in range(most_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if not mark[0] or mark == before:
+        if not mark["n"] or mark == before:
             break
         before, old = mark, now
         relieve(edges.sparkSession, 0.5)
-        now = materialize(_small_star(_large_star(now)))
+        now, mark = materialize_seen(_small_star(_large_star(now)), **measures)
         discard(old)
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, bound_batches, discard, materialize, pieces, raw_texts, relieve, shuffle_parts
+from .common import LOWER, bound_batches, discard, materialize, materialize_seen, pieces, raw_texts, relieve, shuffle_parts
 from .components import components
 from .set_links import links_in_groups, pair_parts, shingle_set
 
@@ -214,11 +214,11 @@ def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096, levels: int
         last = level > levels
         relieve(prints.sparkSession, 0.5)
         dealt = keys.repartition(tasks, "key").sortWithinPartitions("key")
-        out = materialize(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, None if last else hot), "a bigint, b bigint, large boolean"))
+        out, seen = materialize_seen(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, None if last else hot), "a bigint, b bigint, large boolean"), large=F.count_if("large"))
         found.append(out.filter("NOT large").select("a", "b"))
-        large = out.filter("large").select((F.col("a") + 1).alias("k1")).distinct()
-        if last or large.isEmpty():
+        if last or not seen["large"]:
             break
+        large = out.filter("large").select((F.col("a") + 1).alias("k1")).distinct()
         keys = keys.join(large, keys["key"] + 1 == large["k1"], "left_semi")
         keys = split_keys(keys, radius, level) if level < levels else pair_parts(materialize(keys), "fp", hot)
     return reduce(DataFrame.unionAll, found)
@@ -285,24 +285,28 @@ def near_copies(
     each = rows.groupBy("key", "__id", "__raw").agg(F.first("fps").alias("fps"), F.count(F.lit(1)).alias("times"))
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__raw", "times")).alias("m")
     texts = each.groupBy("key").agg(F.first("fps").alias("fps"), first)
-    texts = materialize(texts.select("key", "fps", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r"), F.col("m.times").alias("times"), F.xxhash64("key", F.lit(5)).alias("node")))
+    texts = texts.select("key", "fps", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r"), F.col("m.times").alias("times"), F.xxhash64("key", F.lit(5)).alias("node"))
+    texts, seen = materialize_seen(texts, repeated=F.count_if(F.col("times") > 1))
     prints = texts.select("node", F.posexplode("fps").alias("family", "fp"))
-    held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts")))
-    links = materialize(near_links(held.select("fp", "family"), radius))
-    # a text is a node beside its fingerprints; those alone in their family and without a link connect nothing
-    linked = links.select(F.explode(F.array("a", "b")).alias("fp")).unionAll(held.filter("texts > 1").select("fp")).distinct().select((F.col("fp") + 1).alias("fp1"))
-    owned = prints.join(linked, prints["fp"] + 1 == linked["fp1"], "left_semi").select(F.col("node").alias("a"), F.col("fp").alias("b"))
-    roots = components(links.select("a", "b").unionAll(owned))
+    held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("first")))
+    links = near_links(held.select("fp", "family"), radius)
+    # a fingerprint stands for the first of its texts; its other texts hang on that one
+    owners = held.groupBy("fp").agg(F.min("first").alias("first"))
+    text_of = lambda c: owners.select((F.col("fp") + 1).alias(f"{c}1"), F.col("first").alias(f"{c}_text"))
+    across = links.join(text_of("a"), F.col("a") + 1 == F.col("a1")).join(text_of("b"), F.col("b") + 1 == F.col("b1")).select(F.col("a_text").alias("a"), F.col("b_text").alias("b"))
+    shared = held.filter("texts > 1").select((F.col("fp") + 1).alias("fp1"), "first").distinct()
+    owned = prints.join(shared, prints["fp"] + 1 == shared["fp1"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    roots = components(across.unionAll(owned))
     rooted = texts.join(roots, "node").select("root", "key", "i", "r", "times")
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("root") + 1).alias("r1"))
     maybe = rooted.join(several, rooted["root"] + 1 == several["r1"], "left_semi")
     bodies = body.join(maybe, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw")))
     sets = bodies.select("root", "key", "__text").mapInArrow(sets_of, "root bigint, key string, shingles binary, extra binary")
-    if not texts.filter("times > 1").isEmpty():  # rows that agree in id and text gave one set each
+    if seen["repeated"]:  # rows that agree in id and text gave one set each
         sets = sets.groupBy("root", "key").agg(F.first("shingles").alias("shingles"), F.first("extra").alias("extra"))
     sets = materialize(sets)
     groups = materialize(components(links_in_groups(sets, at_least, block_bytes)).select(F.col("node").alias("k2"), "root"))
-    discard(sets, texts, held, links)
+    discard(sets, texts, held)
     relieve(spark, 0.5)
     return rows.join(groups, rows["key"] == groups["k2"], "left").select("__id", "__raw", F.coalesce("root", "key").alias("__group"))
 

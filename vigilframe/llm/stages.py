@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, sharding, simhash, toxicity
-from .common import materialize, packed
+from .common import materialize_seen, packed
 from .queries import toxicity_model
 
 
@@ -30,10 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     each = simhash.near_copies(docs).groupBy("__group", "__id", "__raw").agg(F.count(F.lit(1)).alias("__n"))
     first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__raw", "__n")).alias("m")
     stay = each.groupBy("__group").agg(first).select(F.col("m.__id").alias("__id"), F.col("m.__raw").alias("__raw"), F.col("m.__n").alias("__n"))
-    stay = materialize(stay)
+    stay, seen = materialize_seen(stay, repeated=F.count_if(F.col("__n") > 1))
     rows = docs.select(packed(docs), F.col("doc_id").alias("__d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
     kept = rows.join(stay, F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__raw")))
-    if not stay.filter("__n > 1").isEmpty():
+    if seen["repeated"]:
         kept = kept.groupBy("__d", "__t").agg(F.first("__row").alias("__row"))
     return kept.select("__row.*")
 
