@@ -26,6 +26,29 @@ def test_fold_equals_a_loop(spark, state):
         assert got[i] == by[s]({"event_id": i, "src": s, "us": us, "port": port, "value": v})
 
 
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("window", [0, 1, 40, 10_000])
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_anchored_windows_equal_a_loop(spark, closed, window, batch):
+    """Across small Arrow batches, two keys of which one is null, equal times and windows of no length."""
+    r = random.Random(window)
+    data = [(i, r.choice(["a", None, "b"]), r.choice([1, None]), r.randint(0, 300)) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(data, "event_id long, x string, y int, us long").repartition(3)
+        got = {q["event_id"]: (q["__window"], q["__place"], q["__opened"]) for q in stateful.anchored_windows(df, ["x", "y"], ["us", "event_id"], window, closed).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    state, want = {}, {}
+    for i, x, y, us in sorted(data, key=lambda d: (d[3], d[0])):
+        n, place, opened = state.get((x, y), (-1, 0, None))
+        if opened is None or (us > opened + window if closed else us >= opened + window):
+            n, place, opened = n + 1, 0, us
+        want[i] = (n, place, opened)
+        state[x, y] = (n, place + 1, opened)
+    assert got == want
+
+
 def test_find_time_resets_on_fire():
     s = stateful.FindTime(3, 100)
     assert [s({"us": t}) for t in (0, 1, 2, 3, 4, 5)] == [False, False, True, False, False, True]

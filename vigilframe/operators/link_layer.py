@@ -17,6 +17,11 @@ SECOND = 1_000_000
 class Opened:
     """The time at which the window of an event opened."""
 
+    closed = True
+
+    def of(self, window: Column, place: Column, opened: Column) -> Column:
+        return opened
+
     def __init__(self, window_us: int):
         self.window, self.first = window_us, None
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], object], out: str, out_type: str) -> DataFrame:
@@ -58,6 +60,11 @@ class FindTime:
 class FixedWindow:
     """A window from its first event; an event after its end opens the next and does not fire. Fires while the count is at least the limit."""
 
+    closed = True  # an event at the very end is inside
+
+    def of(self, window: Column, place: Column, opened: Column) -> Column:
+        return (place > 0) & (place + 1 >= self.limit)
+
     def __init__(self, limit: int, window_us: int):
         self.limit, self.window, self.first, self.n = limit, window_us, None, 0
 
@@ -74,6 +81,12 @@ class FixedWindow:
 class RuleThreshold:
     """limit: the first n of a window; threshold: every n-th; both: once per window after n. A window restarts at the first event after its end."""
 
+    closed = True
+
+    def of(self, window: Column, place: Column, opened: Column) -> Column:
+        n = place + 1
+        return {"limit": n <= self.limit, "threshold": n % self.limit == 0}.get(self.kind, n == self.limit)
+
     def __init__(self, kind: str, n: int, window_us: int):
         self.kind, self.limit, self.window, self.first, self.n = kind, n, window_us, None, 0
 
@@ -91,6 +104,11 @@ class RuleThreshold:
 class FirstSeen:
     """True for the first of a run of events inside window_us of it; the window is not refreshed."""
 
+    closed = False  # an event at the very end opens the next window
+
+    def of(self, window: Column, place: Column, opened: Column) -> Column:
+        return place == 0
+
     def __init__(self, window_us: int):
         self.window, self.first = window_us, None
 
@@ -120,6 +138,11 @@ class DistinctPorts:
 class AnchoredWindow:
     """Number of the window that an event is in: a window opens at its first event and ends window_us after it."""
 
+    closed = True
+
+    def of(self, window: Column, place: Column, opened: Column) -> Column:
+        return window
+
     def __init__(self, window_us: int):
         self.window, self.first, self.n = window_us, None, -1
 
@@ -178,8 +201,52 @@ class Flowbits:
         return bit in self.bits
 
 
+def anchored_windows(df: DataFrame, keys: list[str], order: list[str], window_us: int, closed: bool = True) -> DataFrame:
+    """df with __window, the number of the window of its key that a row is in, __place, its place there, and __opened, when it opened.
+
+    A window opens at the first row of a key that no window before it holds, and lasts window_us from its time, order[0];
+    closed: its end included. Sorted partitions stream through; a key's times are searched for each window's end, so Python
+    takes one step a window, not a row, and one key's window is the state from batch to batch. Null times are not expected.
+    """
+    names, at_us = df.columns, df.columns.index(order[0])
+    at_key, side = [df.columns.index(k) for k in keys], "right" if closed else "left"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window, place, opened = object(), -1, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            us = batch.column(at_us).to_numpy(zero_copy_only=False)
+            change = np.zeros(n - 1, dtype=bool)
+            for c in (batch.column(i) for i in at_key):
+                was, now = c.slice(0, n - 1), c.slice(1)
+                change |= pc.or_(pc.fill_null(pc.not_equal(was, now), False), pc.xor(was.is_null(), now.is_null())).to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.flatnonzero(change) + 1, n]
+            out = np.empty((3, n), dtype=np.int64)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                mine = tuple(batch.column(i)[s].as_py() for i in at_key)
+                if mine != key:
+                    key, window, place, opened = mine, -1, 0, None
+                while s < e:
+                    end = s if opened is None else s + int(np.searchsorted(us[s:e], opened + window_us, side))
+                    if end == s:
+                        window, place, opened = window + 1, 0, int(us[s])
+                        end = max(s + 1, s + int(np.searchsorted(us[s:e], opened + window_us, side)))
+                    out[0, s:end], out[1, s:end], out[2, s:end] = window, np.arange(place, place + end - s), opened
+                    place, s = place + end - s, end
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in out)], names=[*names, "__window", "__place", "__opened"])
+
+    schema = StructType([*df.schema.fields, *(StructField(c, LongType()) for c in ("__window", "__place", "__opened"))])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def fold(df: DataFrame, keys: list[str], make: Callable[[], Callable], out: str = "fired", out_type: str = "boolean", order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:
-    """ordered_fold with one of the states above."""
+    """ordered_fold with one of the states above; those of anchored windows become an expression over anchored_windows."""
+    state = make()
+    if hasattr(state, "of"):
+        rows = anchored_windows(df, keys, list(order), state.window, state.closed)
+        return rows.withColumn(out, state.of(F.col("__window"), F.col("__place"), F.col("__opened")).cast(out_type)).select(*df.columns, out)
     return ordered_fold(df, keys, list(order), make, lambda state, row: state(row), out, out_type)
 
 

@@ -66,13 +66,9 @@ def severity_threshold(spark, sf):
 def rule_threshold(spark, sf):
     """All three kinds of threshold from one pass over each key."""
     d = det(spark, sf).select("event_id", "src", "event_type", "us")
-    kinds = ("limit", "threshold", "both")
-
-    def start():
-        states = [S.RuleThreshold(k, 2, 96 * H) for k in kinds]
-        return lambda row: [k for k, state in zip(kinds, states, strict=True) if state(row)]
-
-    return S.fold(d, ["src", "event_type"], start, "kinds", "array<string>").select("event_id", F.explode("kinds").alias("kind"))
+    rows = S.anchored_windows(d, ["src", "event_type"], ["us", "event_id"], 96 * H)
+    fires = [(k, S.RuleThreshold(k, 2, 96 * H).of(F.col("__window"), F.col("__place"), F.col("__opened"))) for k in ("limit", "threshold", "both")]
+    return rows.select("event_id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in fires]))).alias("kind"))
 
 
 @register("I05_flowbits", folded("SELECT event_id, src AS k, epoch_us(ts) AS us, event_id % 4 AS op, port % 3 AS b FROM det", "bits", "[false, false, false], NULL::BIGINT, false",
