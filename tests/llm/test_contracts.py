@@ -53,6 +53,23 @@ def test_samples_are_bounded(spark):
     assert taken[-1] <= 60
 
 
+def test_one_long_text_does_not_end_the_fit(spark):
+    """Texts that do not fit are passed over wherever the hash puts them; where none fits, that is an error."""
+    rows = [(i, ("bad words here " if i % 2 else "fine words there ") * (5000 if i in (3, 8, 20) else 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    taken = []
+    fit, toxicity.train = toxicity.train, lambda texts, y, *a, **k: taken.append((texts, y)) or fit(texts, y)
+    try:
+        toxicity.train_from(docs, labels, F.lit(True), most_bytes=20_000)
+        with pytest.raises(ValueError, match="no labelled text fits"):
+            toxicity.train_from(docs, labels, F.lit(True), most_bytes=10)
+    finally:
+        toxicity.train = fit
+    texts, y = taken[0]
+    assert len(texts) > 35 and max(map(len, texts)) < 100 and len(set(y)) == 2
+
+
 def test_text_ids(spark):
     rows = [("", "mail a@b.co or 10 20", "en", "s"), (None, "le chat 12", "fr", "s"), ("x", "the cat 1", "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")

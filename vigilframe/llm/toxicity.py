@@ -242,7 +242,8 @@ def train_from(
     """A model whose weights are fit on a bounded sample of whole texts and whose thresholds follow from all other usable labels.
 
     A fifth of the labelled ids, by a hash, calibrates; of the rest at most most_rows positive and most_rows negative ids
-    and most_bytes of text are fit, chosen by another hash. The ids chosen go to all tasks, so the documents are scanned
+    are fit, chosen by another hash, of these in its order each whole text that still fits into most_bytes in all. Labels
+    whose texts all are larger are an error. The ids chosen go to all tasks, so the documents are scanned
     but not shuffled. Every document of the fifth is scored whole where it lies; only counts by language, logit bin and
     label reach the driver. Of several labels of one id the largest counts, of several texts of one id the least is fit.
     """
@@ -258,14 +259,15 @@ def train_from(
     chosen = F.broadcast(spark.createDataFrame([(r[0], int(r["__y"])) for r in ids], f"__i {id_type}, __y int"))
     texts = docs.select(F.col(id_col).alias("__i"), F.coalesce(text_col, F.lit("")).alias("__t")).join(chosen, "__i")
     one = texts.groupBy("__i", "__y").agg(F.min("__t").alias("__t"))
-    room = one.select(F.xxhash64("__i", F.lit(seed)).alias("h"), "__y", F.octet_length("__t").alias("n")).orderBy("h", "__y").collect()
-    last, total = None, 0
-    for r in room:  # 2 * most_rows at most
-        total += r["n"]
-        if total > most_bytes:
-            break
-        last = r["h"]
-    got = one.filter(F.xxhash64("__i", F.lit(seed)) <= F.lit(last)).collect() if last is not None else []
+    room = one.select("__i", F.octet_length("__t").alias("n")).orderBy(F.xxhash64("__i", F.lit(seed)), "__y", "__i").collect()
+    fit, total = [], 0
+    for r in room:  # 2 * most_rows at most; a text that no longer fits is passed over, those behind it are not
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            fit.append((r["__i"],))
+    if room and not fit:
+        raise ValueError(f"no labelled text fits into {most_bytes} bytes")
+    got = one.join(F.broadcast(spark.createDataFrame(fit, f"__i {id_type}")), "__i", "left_semi").collect() if fit else []
     got = sorted((r["__t"], r["__y"]) for r in got)
     model = train([t for t, _ in got], [y for _, y in got], language, hold_out=False, seed=seed)
     if len({y for _, y in got}) < 2:
