@@ -124,7 +124,7 @@ def tracked(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("I31_fragment_tracking", f"WITH RECURSIVE {TRACKED} SELECT l_orderkey, l_linenumber, tiny, overlap, oversized, completed, expired FROM tr WHERE k > 0")
 def fragment_tracking(spark, sf):
-    return tracked(spark, sf).select("l_orderkey", "l_linenumber", "tiny", "overlap", "oversized", "completed", "expired")
+    return tracked(spark, sf).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "tiny", "overlap", "oversized", "completed", "expired")
 
 
 @register("D49_fragment_ratios", f"""WITH RECURSIVE {TRACKED}, ev AS (SELECT l_orderkey % 1000 AS src, count(*) AS packets FROM lineitem GROUP BY 1), fin AS (SELECT max(due) AS fin FROM fr),
