@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize_seen, relieve
+from .common import discard, materialize, materialize_seen, relieve
 
 
 def _hub(pairs: DataFrame, key: str, low: DataFrame) -> DataFrame:
@@ -31,9 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root for every node of edges(a, b): root is the smallest node reachable. Self links are ignored.
 
-    Each round writes its stars to the shared folder and counts them on the way, so a round is one job, the plan stays
-    short and a lost executor costs a reread. The
-    number of rounds grows with the logarithm of the longest path.
+    Each step writes its stars to the shared folder and counts them on the way, so plans stay short and a lost executor
+    costs a reread. The number of rounds grows with the logarithm of the longest path.
     """
     relieve(edges.sparkSession)
     measures = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))}
@@ -44,8 +43,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before, old = mark, now
         relieve(edges.sparkSession, 0.5)
-        now, mark = materialize_seen(_small_star(_large_star(now)), **measures)
-        discard(old)
+        wide = materialize(_large_star(old))  # on its own: the small star reads it three times
+        now, mark = materialize_seen(_small_star(wide), **measures)
+        discard(old, wide)
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

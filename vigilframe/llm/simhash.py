@@ -289,15 +289,15 @@ def near_copies(
     texts, seen = materialize_seen(texts, repeated=F.count_if(F.col("times") > 1))
     prints = texts.select("node", F.posexplode("fps").alias("family", "fp"))
     held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("first")))
-    links = near_links(held.select("fp", "family"), radius)
+    links = materialize(near_links(held.select("fp", "family"), radius))
     # a fingerprint stands for the first of its texts; its other texts hang on that one
     owners = held.groupBy("fp").agg(F.min("first").alias("first"))
     text_of = lambda c: owners.select((F.col("fp") + 1).alias(f"{c}1"), F.col("first").alias(f"{c}_text"))
     across = links.join(text_of("a"), F.col("a") + 1 == F.col("a1")).join(text_of("b"), F.col("b") + 1 == F.col("b1")).select(F.col("a_text").alias("a"), F.col("b_text").alias("b"))
     shared = held.filter("texts > 1").select((F.col("fp") + 1).alias("fp1"), "first").distinct()
     owned = prints.join(shared, prints["fp"] + 1 == shared["fp1"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    roots = components(across.unionAll(owned))
-    rooted = texts.join(roots, "node").select("root", "key", "i", "r", "times")
+    roots = components(materialize(across).unionAll(owned))
+    rooted = materialize(texts.join(roots, "node").select("root", "key", "i", "r", "times"))
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("root") + 1).alias("r1"))
     maybe = rooted.join(several, rooted["root"] + 1 == several["r1"], "left_semi")
     bodies = body.join(maybe, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw")))
@@ -306,7 +306,7 @@ def near_copies(
         sets = sets.groupBy("root", "key").agg(F.first("shingles").alias("shingles"), F.first("extra").alias("extra"))
     sets = materialize(sets)
     groups = materialize(components(links_in_groups(sets, at_least, block_bytes)).select(F.col("node").alias("k2"), "root"))
-    discard(sets, texts, held)
+    discard(sets, texts, held, links, rooted)
     relieve(spark, 0.5)
     return rows.join(groups, rows["key"] == groups["k2"], "left").select("__id", "__raw", F.coalesce("root", "key").alias("__group"))
 
