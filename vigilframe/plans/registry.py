@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("relational", "packets", "lookups", "text", "correlate", "evaluate", "ml", "rules", "streams", "protocols", "threats", "decode", "link_layer", "sessions", "anomalies", "inputs", "feedback", "alerts")
+MODULES: tuple[str, ...] = ("relational", "packets", "lookups", "text", "correlate", "evaluate", "ml", "rules", "streams", "protocols", "threats", "decode", "link_layer", "sessions", "anomalies", "inputs", "feedback", "alerts", "labels")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
