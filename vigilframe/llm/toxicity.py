@@ -169,7 +169,7 @@ def train(
     step, size, spans = 0, 32, np.cumsum([0] + [n_filters] * len(widths))
     coded = {i: model.ids([texts[i]])[0] for i in fit}
     stems = [np.zeros(buckets, dtype=np.int64) for _ in STEMS]
-    for w, b in known.items():
+    for w, b in sorted(known.items()):  # in one order whatever the process hashes strings to, for buckets are shared
         if not w.startswith("^"):
             for to, n in zip(stems, STEMS, strict=True):
                 to[b] = known.get("^" + w[:n], b)
