@@ -42,8 +42,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark["n"] or mark == before:
             break
         before, old = mark, now
-        relieve(edges.sparkSession, 0.5)
+        relieve(edges.sparkSession, 0.3)
         wide = materialize(_large_star(old))  # on its own: the small star reads it three times
+        relieve(edges.sparkSession, 0.3)
         now, mark = materialize_seen(_small_star(wide), **measures)
         discard(old, wide)
     else:

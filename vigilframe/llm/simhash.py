@@ -212,7 +212,7 @@ def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096, levels: int
     found = []
     for level in range(levels + 2):
         last = level > levels
-        relieve(prints.sparkSession, 0.5)
+        relieve(prints.sparkSession, 0.3)
         dealt = keys.repartition(tasks, "key").sortWithinPartitions("key")
         out, seen = materialize_seen(dealt.select("key", "fp").mapInArrow(_bucket_links(radius, None if last else hot), "a bigint, b bigint, large boolean"), large=F.count_if("large"))
         found.append(out.filter("NOT large").select("a", "b"))
@@ -307,7 +307,7 @@ def near_copies(
     sets = materialize(sets)
     groups = materialize(components(links_in_groups(sets, at_least, block_bytes)).select(F.col("node").alias("k2"), "root"))
     discard(sets, texts, held, links, rooted)
-    relieve(spark, 0.5)
+    relieve(spark, 0.3)
     return rows.join(groups, rows["key"] == groups["k2"], "left").select("__id", "__raw", F.coalesce("root", "key").alias("__group"))
 
 
