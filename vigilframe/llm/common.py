@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -88,12 +89,33 @@ def discard(*tables: DataFrame) -> None:
 def relieve(spark: SparkSession, above: float = 0.0) -> None:
     """Lets driver and its JVM drop the plans, generated classes and buffers of finished jobs, before an operator of many short jobs adds its own.
 
-    Only where the JVM's heap has grown beyond `above` of its limit; a collection then also gives memory back to the machine.
+    Only where the JVM's heap has grown beyond `above` of its limit; a collection then also gives memory back to the machine,
+    and so do the C heaps of both processes, which keep what training and the compiler have freed.
     """
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() >= above * runtime.maxMemory():
         gc.collect()
         spark._jvm.System.gc()
+        trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Gives free pages of the C heaps of this process and of the JVM back to the machine, where C library and JVM can do that."""
+    if freed := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        freed(0)
+    jvm, command = spark._jvm, "systemTrimNativeHeap"  # what `jcmd PID System.trim_native_heap` calls
+    beans, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    calls = {(m.getName(), m.getParameterCount()): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+
+    def call(method: str, *args):
+        """By the interface, for the server's own class is not open to calls from here."""
+        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, len(args))
+        for i, x in enumerate(args):
+            values[i] = x
+        return calls[method, len(args)].invoke(beans, values)
+
+    if call("isRegistered", name) and any(op.getName() == command for op in call("getMBeanInfo", name).getOperations()):
+        call("invoke", name, command, None, None)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

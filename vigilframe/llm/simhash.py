@@ -287,6 +287,7 @@ def near_copies(
     texts = each.groupBy("key").agg(F.first("fps").alias("fps"), first)
     texts = texts.select("key", "fps", F.col("m.__id").alias("i"), F.col("m.__raw").alias("r"), F.col("m.times").alias("times"), F.xxhash64("key", F.lit(5)).alias("node"))
     texts, seen = materialize_seen(texts, repeated=F.count_if(F.col("times") > 1))
+    relieve(spark, 0.3)
     prints = texts.select("node", F.posexplode("fps").alias("family", "fp"))
     held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("first")))
     links = materialize(near_links(held.select("fp", "family"), radius))
@@ -298,6 +299,7 @@ def near_copies(
     owned = prints.join(shared, prints["fp"] + 1 == shared["fp1"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
     roots = components(materialize(across).unionAll(owned))
     rooted = materialize(texts.join(roots, "node").select("root", "key", "i", "r", "times"))
+    relieve(spark, 0.3)
     several = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select((F.col("root") + 1).alias("r1"))
     maybe = rooted.join(several, rooted["root"] + 1 == several["r1"], "left_semi")
     bodies = body.join(maybe, F.col("i").eqNullSafe(F.col("__id")) & (F.col("r") == F.col("__raw")))
