@@ -125,3 +125,44 @@ def test_large_buckets_are_split_and_streamed(spark):
                     a, b = sorted((find(p), find(q)))
                     root[b] = a
         assert {p: got.get(p, p) for p in prints} == {p: find(p) for p in prints}
+
+
+def test_a_large_group_has_few_links_a_print(spark):
+    """Buckets choose the same links where they can: a few for each print, not up to one for each of the 63 masks."""
+    from vigilframe.llm.components import components
+
+    rng = np.random.default_rng(6)
+    base, prints = int(rng.integers(0, 1 << 62)), set()
+    while len(prints) < 1000:
+        p = base
+        for bit in rng.integers(0, 62, rng.integers(1, 9)):
+            p ^= 1 << int(bit)
+        prints.add(p)
+    prints = np.array(sorted(prints), dtype=np.uint64)
+    links = simhash.near_links(spark.createDataFrame([(int(p),) for p in prints], "fp long"), 5)
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links.collect()}
+    assert len(got) < 6 * len(prints)
+    assert all((a ^ b).bit_count() <= 5 for a, b in got)
+    root = np.arange(len(prints))
+    while True:  # the smallest index in reach, until nothing changes
+        low = np.array([root[np.bitwise_count(prints ^ p) <= 5].min() for p in prints])
+        if (low == root).all():
+            break
+        root = low
+    node = {r["node"]: r["root"] for r in components(links).collect()}
+    assert [node.get(int(p), int(p)) for p in prints] == [int(prints[i]) for i in root]
+
+
+def test_least_forest_is_the_same_in_every_bucket():
+    """A bucket's forest holds every link of the whole forest whose ends it has, and connects what pairs connect."""
+    rng = np.random.default_rng(7)
+    prints = np.unique(np.array([int(x) for x in rng.integers(0, 1 << 10, 300)], dtype=np.uint64) << np.uint64(54))
+    whole = {frozenset(map(int, x)) for x in simhash.spanning_links(prints, 3)}
+    assert len(whole) == len(prints) - 1
+    for _ in range(5):
+        some = prints[rng.random(len(prints)) < 0.3]
+        ends = set(map(int, some))
+        assert {x for x in whole if x <= ends} <= {frozenset(map(int, x)) for x in simhash.spanning_links(some, 3)}
+    apart = np.array([0, 1, 1 << 20, (1 << 20) + 3, (1 << 40) - 1], dtype=np.uint64)
+    assert {frozenset(map(int, x)) for x in simhash.spanning_links(apart, 2)} == {frozenset({0, 1}), frozenset({1 << 20, (1 << 20) + 3}), frozenset({0, 1 << 20})}
+    assert simhash.spanning_links(apart[:1], 3) == []

@@ -78,21 +78,28 @@ def covering_masks(radius: int = 3, bits: int = 64) -> tuple[int, ...]:
 
 
 def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph that joins distinct prints at `radius` bits or fewer.
+    """Links of the least spanning forest of the graph that joins distinct prints at `radius` bits or fewer.
 
-    Breadth first: a visited print takes every unvisited one in reach, so no pair list is made, whatever the size.
+    Links are ordered by their bits, then by a hash of the pair, so all buckets order them alike and choose the same ones
+    again and again: a link is left out only where lighter ones connect its ends. The forest grows by the lightest link
+    that leaves it, so no pair list is made, whatever the size.
     """
-    out, rest = [], prints
+    far, mix, mix2 = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    out, rest, x = [], prints[1:].copy(), prints[:1]
+    best, end = np.full(len(rest), far), np.zeros(len(rest), dtype=np.uint64)
     while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
-            if near.any():
-                found = rest[near]
-                out += [(x, y) for y in found]
-                front += list(found)
-                rest = rest[~near]
+        differ = rest ^ x
+        bits = np.bitwise_count(differ)
+        weight = (bits.astype(np.uint64) << np.uint64(57)) | ((differ * mix + (rest + x) * mix2) >> np.uint64(7))
+        nearer = (bits <= radius) & (weight < best)
+        best[nearer], end[nearer] = weight[nearer], x
+        at = int(best.argmin())
+        if best[at] < far:
+            out.append((end[at], rest[at]))
+        x = rest[at : at + 1].copy()
+        for held in (rest, best, end):
+            held[at] = held[-1]
+        rest, best, end = rest[:-1], best[:-1], end[:-1]
     return out
 
 
@@ -203,7 +210,7 @@ def near_links(prints: DataFrame, radius: int = 3, hot: int = 4096, levels: int
     buckets in order, one in memory at a time; the number of tasks follows the number of prints. A bucket of more than
     `hot` prints is named instead and split by split_keys, `levels` times while there are such, so no link is lost and
     no task gets it whole; what is larger even then is cut into parts, and each pair of parts is a bucket. Each bucket
-    gives a spanning forest, not pairs.
+    gives a spanning forest, not pairs. A link that several buckets chose is there several times.
     """
     keys, tables = in_tables(prints, radius), (1 << (radius + 1)) - 1
     if "family" in keys.columns:
@@ -290,7 +297,7 @@ def near_copies(
     relieve(spark, 0.3)
     prints = texts.select("node", F.posexplode("fps").alias("family", "fp"))
     held = materialize(prints.groupBy("fp", "family").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("first")))
-    links = materialize(near_links(held.select("fp", "family"), radius))
+    links = materialize(near_links(held.select("fp", "family"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # a fingerprint stands for the first of its texts; its other texts hang on that one
     owners = held.groupBy("fp").agg(F.min("first").alias("first"))
     text_of = lambda c: owners.select((F.col("fp") + 1).alias(f"{c}1"), F.col("first").alias(f"{c}_text"))
