@@ -79,3 +79,12 @@ def test_access_points(spark):
     b = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "bssid long, us long, ssid string, channel int, rsn string, signal int, event_id long")
     got = {r["bssid"]: tuple(r)[1:] for r in PA.access_points(b, spark.createDataFrame([(1,), (1,), (9,)], "bssid long"), F.lit(520 * s)).collect()}
     assert got == {1: ("net", 6, None, 2, -50, True, True), 2: ("net", 1, None, 1, None, False, True), 4: ("lone", 0, None, 1, -7, False, False)}
+
+
+def test_shares_have_the_decimals_of_printf(spark):
+    rows = [(e, n) for n in [*range(11, 321), 400, 2000, 4000] for e in range(n // 2 + 1, n + 1)] + [(1151, 2000), (9, 16), (11, 16)]
+    df = spark.createDataFrame(rows, "errors long, responses long").withColumn("share", F.col("errors") * 100 / F.col("responses"))
+    wrong = [r for r in df.select("share", PA.tenths(F.col("share")).alias("t")).collect() if r["t"] != f"{r['share']:.1f}"]
+    assert wrong == []
+    s = spark.createDataFrame([(False, False, None, 16, 11), (False, False, None, 32, 18)], "traversal boolean, injection boolean, bad_agent string, responses long, errors long")
+    assert [r["a"][0]["message"] for r in s.select(PA.http_alerts(s).alias("a")).collect()] == ["High HTTP error rate: 68.8%", "High HTTP error rate: 56.2%"]
