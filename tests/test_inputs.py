@@ -46,3 +46,15 @@ def test_proxied_lines(spark):
 def test_probes(spark, payload, want):
     r = spark.createDataFrame([(None if payload is None else bytearray(payload),)], "b binary").select(probes.best_probe(F.col("b")).alias("p")).first()["p"]
     assert (r and tuple(r)) == want
+
+
+@pytest.mark.parametrize(
+    ("payload", "want"),
+    [
+        (b"INVITE sip:a" + b"x" * 7 + "é".encode(), ("sip", 100)), (b"INVITE sip:a" + b"x" * 6 + "€".encode(), ("sip", 100)), (b"INVITE sip:a" + b"x" * 5 + "\U0001f600".encode(), ("sip", 100)), (b"INVITE sip:a" + b"x" * 7 + "\U0001f600".encode(), ("sip", 100)),
+        (b"INVITE sip:a" + b"x" * 7 + b"\xc3", ("mqtt", 70)), (b"INVITE sip:a\xff" + b"x" * 20, ("mqtt", 70)), (b"INVITE sip:a" + b"x" * 8 + b"\xff" * 9, ("sip", 100)), (b"pa\xdf\x80", ("mqtt", 70)),
+    ],
+)
+def test_probes_of_bytes_that_are_not_ascii(spark, payload, want):
+    """A character that lies across the 20th byte is none that is broken, and a byte is not made two letters."""
+    assert tuple(spark.createDataFrame([(bytearray(payload),)], "b binary").select(probes.best_probe(F.col("b")).alias("p")).first()["p"]) == want

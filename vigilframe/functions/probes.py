@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ def _begins(text: Column, words: list[str]) -> Column:
 def probes(b: Column) -> list[tuple[str, Column]]:
     """(protocol, confidence from 0 to 100) in the order of the registry; of equal confidences the first wins."""
     n = F.octet_length(b)
-    first, upper = _text(b, 24), F.upper(_text(b, 24))
+    first = _text(b, 24)
+    upper = F.translate(first, ascii_lowercase, ascii_uppercase)  # bytes, not letters: as a letter, 0xDF would become two
     valid = lambda x: F.is_valid_utf8(x.cast("string"))
+    begins_valid = reduce(lambda a, c: a | c, [valid(F.substring(b, F.lit(1), F.lit(n))) for n in range(20, 24)])  # a character of up to 4 bytes may lie across the 20th
     at = lambda i, k=1: uint(b, i, k)
     if_ = lambda test, conf: F.when(test, conf).otherwise(0)
     digits = first.rlike("^[0-9]{3}[ -]")
@@ -61,7 +64,7 @@ def probes(b: Column) -> list[tuple[str, Column]]:
         ("rdp", if_((n >= 4) & (at(0) == 3), 80)),
         ("dhcp", if_((n >= 240) & (_hex(b, 236, 4) == DHCP_MAGIC), 100)),
         ("snmp", if_((n >= 10) & (at(0) == 0x30), 80)),
-        ("sip", if_(valid(F.substring(b, F.lit(1), F.lit(20))) & (_begins(upper, SIP_METHODS) | upper.startswith("SIP/")), 100)),
+        ("sip", if_(begins_valid & (_begins(upper, SIP_METHODS) | upper.startswith("SIP/")), 100)),
         ("mqtt", if_((n >= 2) & (at(0) >= 16), 70)),
         ("modbus", if_((n >= 8) & (at(2, 2) == 0), 80)),
         ("dnp3", if_((n >= 10) & (_hex(b, 0, 2) == DNP3_START), 90)),
