@@ -409,7 +409,8 @@ def audit_ecs(spark, sf):
 
 @register("A31_geoip", f"WITH {P} SELECT packet_id, CASE WHEN src_num >= 3232235520 THEN (src_num - 3232235520) // 8 ELSE (src_num - 167772160) // 8 + 1000 END AS block FROM pkt")
 def geoip(spark, sf):
-    """A range table as /29 blocks, joined by prefix."""
-    client = spark.range(1 << 13).select(F.lit(29).alias("prefix"), (F.col("id") * 8 + T.CLIENT_BASE).alias("lo"), F.col("id").alias("block"))
+    """A range table as /29 blocks, one for every eight users however many there are, joined by prefix."""
+    users = T.table(spark, sf, "events").select(F.floor(F.col("user_id") / 8).alias("id")).dropna().distinct()
+    client = users.select(F.lit(29).alias("prefix"), (F.col("id") * 8 + T.CLIENT_BASE).alias("lo"), F.col("id").alias("block"))
     server = spark.range(16).select(F.lit(29).alias("prefix"), (F.col("id") * 8 + T.SERVER_BASE).alias("lo"), (F.col("id") + 1000).alias("block"))
     return L.cidr_join(T.packets(spark, sf).select("packet_id", "src_num"), "src_num", client.unionByName(server)).select("packet_id", "block")
