@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from vigilframe.operators import anomaly, lookups, rules, stateful, textscan
+from vigilframe.operators import anomaly, flows, lookups, rules, stateful, textscan
+from vigilframe.plans import registry
 
 
 def test_nearest_join_equals_all_pairs(spark):
@@ -131,3 +132,20 @@ def test_guarded_redaction_equals_all_patterns(spark):
     want = df.select("text", textscan.sanitize(df["text"]).alias("clean"), *textscan.redaction_counts(df["text"]))
     key = lambda d: sorted(map(str, d.collect()))
     assert key(textscan.redact(df, "text", "clean").select(*want.columns)) == key(want)
+
+
+def test_counts_before_match_a_loop(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.randint(0, 2), rnd.randint(-60, 60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, p int, us long")
+    for window in (1, 7, 25, 500):
+        out = flows.counts_before(df, {"near": ["k"], "like": ["k", "p"]}, "us", window)
+        got = {r["id"]: (r["near"], r["like"]) for r in out.collect()}
+        want = {i: tuple(sum(u - window <= v <= u - 1 and a == k and (not j or b == p) for _, a, b, v in rows) for j in (0, 1)) for i, k, p, u in rows}
+        assert got == want and out.columns == [*df.columns, "near", "like"]
+
+
+def test_no_flow_looks_through_its_window(spark, sf):
+    """A frame with a lower bound in time is computed anew for each row: its work is rows times rows of a window."""
+    plan = registry.queries()["K01_flow_vector"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
