@@ -134,3 +134,20 @@ def test_smb_and_smtp_state(spark):
     ops = ["mail", "rcpt", "rcpt", "done", "rset", "rcpt", "mail", "rcpt", "done"]
     rows = W.smtp_volume(spark.createDataFrame([("f", i, o) for i, o in enumerate(ops)], "f string, k int, op string"), ["f"], ["k"], 2, 10).orderBy("k").collect()
     assert [(r["transactions"], r["recipients"], r["in_mail"], r["high_volume"]) for r in rows] == [(0, 0, 0, False), (0, 1, 1, False), (0, 2, 2, False), (1, 2, 2, False), (1, 2, 0, False), (1, 3, 1, False), (1, 3, 0, False), (1, 4, 1, False), (2, 4, 1, True)]
+
+
+def test_only_the_head_of_the_sample_is_sorted(spark):
+    """Rows whose hash begins beyond the last one wanted are dropped before the sort, and the sample is the same."""
+    df = spark.range(6000).selectExpr("id AS k", "id % 7 AS g", "double(id) AS v").unionAll(spark.sql("SELECT NULL, 1L, 0D"))
+    mark = F.md5(F.concat_ws("|", F.col("k").cast("string"), F.col("g").cast("string")).cast("binary"))
+    order = [tuple(r) for r in df.orderBy(mark, "k", "g").collect()]
+    for most in (0, 1, 37, 500, 6000, 6001, 9000):
+        got = X.training_sample(df, ["k", "g"], most)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, order[:most]))
+    plan = X.training_sample(df, ["k", "g"], 37)._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Sort") < plan.index("Filter")
+
+
+def test_both_quartiles_from_one_set_of_counts(spark):
+    plan = X.learn_baseline(spark.range(10).selectExpr("double(id) AS a"), ["a"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.25" in plan and plan.count("0.75") == plan.count("0.25,0.75")
