@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from vigilframe.operators import lookups
 from vigilframe.plans import registry
@@ -56,3 +57,26 @@ def test_no_vectors_on_the_driver(spark, sf, name, monkeypatch):
 def test_every_query_is_searched(spark, sf, name):
     got = registry.queries()[name](spark, sf).groupBy("q_id").count().collect()
     assert {r["q_id"] for r in got} == set(range(0, 500, 50)) and max(r["count"] for r in got) <= 20
+
+
+def test_odd_vectors_score_as_the_expression_does(spark):
+    """Null vectors, nulls in them, other lengths, zeros, NaN and many equal vectors; ties by the smaller id."""
+    rng = np.random.default_rng(2)
+    v = [[float(x) for x in r] for r in rng.integers(-2, 3, (30, 3))] + [[1.0, 1.0, 1.0]] * 12 + [None, [], [1.0], [0.0, 0.0, 0.0], [None, 1.0, 1.0], [float("nan"), 1.0, 1.0], [2.0, 0.5], [0.5, 2.0]]
+    e = spark.createDataFrame([(i, i % 4, x) for i, x in enumerate(v)], SCHEMA)
+    right = e.filter("id % 3 <> 1").withColumnRenamed("id", "rid")
+    pairs = e.select("id", "v").crossJoin(right.withColumnRenamed("v", "q")).withColumn("score", lookups.cosine(F.col("v"), F.col("q")))
+    for own in (True, False):
+        order = Window.partitionBy("id").orderBy(F.desc("score"), "rid")
+        some = pairs if own else pairs.filter("id <> rid")
+        want = some.withColumn("rank", F.row_number().over(order)).filter("rank <= 6").select("id", "rid", "score", "rank", "label")
+        got = lookups.nearest(e, right, 6, "id", "rid", "v", carry=("label",), own=own, block=11, chunk=9).select(*want.columns)
+        mine, theirs = (set(map(str, map(tuple, x.collect()))) for x in (got, want))
+        assert sorted(mine - theirs) == sorted(theirs - mine) == []
+
+
+def test_pairs_are_scored_as_matrices(spark):
+    """No interpreted expression runs for each pair of vectors."""
+    e = spark.createDataFrame([(i, 0, [1.0, float(i)]) for i in range(700)], SCHEMA)
+    plan = lookups.nearest(e, e.withColumnRenamed("id", "rid"), 2, "id", "rid", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "lambda" not in plan

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -94,36 +98,102 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vector: str, carry: tuple[str, ...] = (), own: bool = False, block: int = 512, chunk: int = 4096) -> DataFrame:
+def _by_length(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each length; those that are null or hold a null are left out."""
+    at: dict[int, list[int]] = {}
+    lengths = pc.list_value_length(vectors)
+    if len(vectors) and not vectors.null_count and not vectors.flatten().null_count and pc.count_distinct(lengths).as_py() == 1:
+        n = lengths[0].as_py()
+        return {n: (np.arange(len(vectors)), vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), n))}
+    rows = vectors.to_pylist()
+    for i, v in enumerate(rows):
+        if v is not None and None not in v:
+            at.setdefault(len(v), []).append(i)
+    return {n: (np.array(some), np.array([rows[i] for i in some], dtype=float).reshape(len(some), n)) for n, some in at.items()}
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(m))
+    for c in m.T:
+        out += c * c
+    return np.sqrt(out)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """cosine() of all rows of a with all rows of b. Sums run from the first number to the last, as dot() does, so equal vectors have equal scores wherever they stand."""
+    columns, out = np.ascontiguousarray(b.T), np.zeros((len(a), len(b)))
+    each = np.empty_like(out)
+    for i in range(a.shape[1]):
+        np.multiply(a[:, i, None], columns[i], out=each)
+        out += each
+    np.multiply(_norms(a)[:, None], _norms(b), out=each)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((each > 0) | np.isnan(each), out / each, 0.0)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vector: str, carry: tuple[str, ...] = (), own: bool = False, block: int = 4096, chunk: int = 4096) -> DataFrame:
     """The k right rows of greatest cosine similarity for each left row, exactly: left_id, right_id, score, rank and the right rows' `carry`.
 
-    Both sides lie in a grid of cells. Right rows are dealt by a hash into blocks of about `block`, one array row each,
-    left rows by another into chunks of about `chunk`; every left row goes once to each block, every block once to each
-    chunk, by an equi join on both numbers. Only the k best of a left row in a block move on. The driver sees two counts.
-    Rows of the same id are not compared unless `own` is set. Equal scores go to the smaller right_id.
+    Both sides lie in a grid of cells. Right rows are dealt by a hash into blocks of about `block`, left rows by another
+    into chunks of about `chunk`; every left row goes once to each block, every right row once to each chunk. A cell
+    scores all its pairs in tiles of at most 131,072 numbers or one left row, and only the k best of a left row in it move
+    on. The driver sees two counts. Rows of the same id are not compared unless `own` is set. Equal scores go to the
+    smaller right_id. A null vector or one that holds a null scores 0, vectors of two lengths null, which comes last.
     """
     blocks, chunks = max(1, -(-right.count() // block)), max(1, -(-left.count() // chunk))
-    wide = F.transform(F.col(vector), lambda x: x.cast("double"))
     number = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = right.select(number(right_id, blocks, 1).alias("__block"), F.col(right_id).alias("id"), wide.alias("v"), *carry)
-    held = held.groupBy("__block").agg(F.collect_list(F.struct("id", "v", norm(F.col("v")).alias("n"), *carry)).alias("__held")).withColumn("__chunk", every(chunks))
-    rows = left.select(left_id, number(left_id, chunks, 2).alias("__chunk"), wide.alias("__v"), every(blocks).alias("__block")).withColumn("__n", norm(F.col("__v")))
-
-    def score(r):
-        n = F.col("__n") * r["n"]
-        return F.struct(F.when(n > 0, dot(F.col("__v"), r["v"]) / n).otherwise(0.0).alias("score"), (-r["id"]).alias("o"), *[r[c].alias(c) for c in carry])
-
-    others = F.col("__held") if own else F.filter("__held", lambda r: r["id"] != F.col(left_id))
-    scored = F.transform(others, score)
-    best = F.array_compact(F.array(F.array_max(scored))) if k == 1 else F.slice(F.sort_array(scored, asc=False), 1, k)
-    found = rows.join(held, ["__block", "__chunk"]).select(left_id, F.inline(best))
-    found = found.select(left_id, (-F.col("o")).alias(right_id), "score", *carry)
-    w = Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc(right_id))
+    if not own:
+        left, right = left.filter(F.col(left_id).isNotNull()), right.filter(F.col(right_id).isNotNull())
+    rows = left.select(F.col(left_id).alias("id"), F.col(vector).alias("v"), number(left_id, chunks, 2).alias("__chunk"), every(blocks).alias("__block"))
+    held = right.select(F.col(right_id).alias("id"), F.col(vector).alias("v"), *[F.col(c).alias(f"c_{c}") for c in carry], number(right_id, blocks, 1).alias("__block"), every(chunks).alias("__chunk"))
+    names = [left_id, right_id, "score", *carry]
+    kinds = [left.schema[left_id].dataType, right.schema[right_id].dataType, DoubleType(), *[right.schema[c].dataType for c in carry]]
+    schema = StructType([StructField(n, t) for n, t in zip(names, kinds, strict=True)])
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.take(pc.sort_indices(b, sort_keys=[("id", "ascending")], null_placement="at_end"))  # of equal scores the first wins
+        sides = [t["v"].combine_chunks() if len(t) else pa.array([], pa.list_(pa.float64())) for t in (a, b)]
+        ours, theirs = _by_length(sides[0]), _by_length(sides[1])
+        placed = {n: dict(zip(at.tolist(), range(len(at)), strict=True)) for n, (at, _) in ours.items()}
+        of = {i: n for n, some in placed.items() for i in some}
+        mixed = len(ours.keys() | theirs.keys()) > 1
+        sizes = [np.zeros(len(t)) for t in (a, b)]
+        for size, side in zip(sizes, (ours, theirs), strict=True):
+            for at, m in side.values():
+                size[at] = _norms(m)
+        found, step = [], max(1, 131_072 // max(1, len(b)))
+        for start in range(0, len(a) if len(b) else 0, step):
+            here = range(start, min(start + step, len(a)))
+            score = np.zeros((len(here), len(b)))
+            none = ~(sizes[0][start : here.stop, None] * sizes[1] <= 0) if mixed else np.zeros((1, len(b)), bool)
+            for n in {of[i] for i in here if i in of} & set(theirs):
+                mine = [i for i in here if of.get(i) == n]
+                place = np.ix_([i - start for i in mine], theirs[n][0])
+                score[place] = _cosines(ours[n][1][[placed[n][i] for i in mine]], theirs[n][1])
+                if mixed:
+                    none[place] = False
+            none = np.broadcast_to(none, score.shape)
+            order = np.where(none, -1e300, np.where(np.isnan(score), np.inf, score))
+            if not own:
+                order[a["id"].slice(start, len(here)).to_numpy()[:, None] == b["id"].to_numpy()] = -np.inf
+            least = np.partition(order, len(b) - k, axis=1)[:, len(b) - k, None] if len(b) > k else -np.inf
+            r, c = np.nonzero((order >= least) & (order > -np.inf))
+            best = np.lexsort((c, -order[r, c], r))
+            r, c = r[best], c[best]
+            first = np.searchsorted(r, r, side="left")
+            kept = np.arange(len(r)) - first < k
+            r, c = r[kept], c[kept]
+            found.append((r + start, c, score[r, c], none[r, c]))
+        r, c, score, none = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+        return pa.table([a["id"].take(pa.array(r, pa.int64())), b["id"].take(pa.array(c, pa.int64())), pa.array(score, pa.float64(), mask=none), *[b[f"c_{x}"].take(pa.array(c, pa.int64())) for x in carry]], names=names)
+
+    found = rows.groupBy("__block", "__chunk").cogroup(held.groupBy("__block", "__chunk")).applyInArrow(cell, schema)
+    w = Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc_nulls_last(right_id))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, id_col: str, vector: str, block: int = 512) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, id_col: str, vector: str, block: int = 4096) -> DataFrame:
     """The k corpus rows of greatest cosine similarity for each query, exactly; no query vector goes to the driver."""
     return nearest(queries, corpus, k, query_id, id_col, vector, block=block)
 
