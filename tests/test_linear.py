@@ -149,3 +149,9 @@ def test_no_flow_looks_through_its_window(spark, sf):
     """A frame with a lower bound in time is computed anew for each row: its work is rows times rows of a window."""
     plan = registry.queries()["K01_flow_vector"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
+def test_rule_headers_are_parsed_once(spark, sf):
+    """The join's plan has the blocks of the rules as a table, not the expressions that make them."""
+    plan = registry.queries()["B11_rule_headers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "lambda" not in plan

@@ -153,11 +153,13 @@ def header_join(packets: DataFrame, headers: DataFrame, src: str, port: str) ->
 
     headers has sid, proto, prefix, lo (networks as of cidr_bounds) and spec (a port spec). A port spec becomes aligned
     blocks, a network is one by nature. A packet looks up one key for each pair of prefix and block length that occurs
-    among the rules; the driver sees those pairs, 33 x 17 at most, not the rules. Each match is found once.
+    among the rules; the driver sees those pairs, 33 x 17 at most, not the rules. The blocks are written once and read for
+    the pairs and the join, so the rules' long expressions are compiled for one plan. Each match is found once.
     """
+    from ..sources.scratch import as_table
     from .lookups import block_size
 
-    table = headers.select("sid", "proto", "prefix", F.col("lo").alias("net_lo"), F.inline(port_blocks(F.col("spec"))))
+    table = as_table(headers.select("sid", "proto", "prefix", F.col("lo").alias("net_lo"), F.inline(port_blocks(F.col("spec")))))
     shapes = sorted(tuple(r) for r in table.select("prefix", "port_bits").distinct().collect())  # 561 rows at most
     if not shapes:
         return packets.join(table.select("proto", "sid"), "proto").select(*packets.columns, "sid")
