@@ -103,3 +103,19 @@ def test_ratios_count_open_groups_that_are_too_old(spark, last):
 def test_empty_tables(spark):
     s = spark.createDataFrame([], "doc_id long, k long, syn boolean, seq long, data string")
     assert R.reassemble(s, ["doc_id"], ["k"]).count() == 0
+
+
+def test_lines_of_one_number_and_day_in_any_order_of_files(spark, tmp_path):
+    """Two lines of an order with equal number and day: overlap and completion don't depend on which is read first."""
+    import datetime
+
+    from vigilframe.plans import registry
+
+    day = datetime.datetime(1996, 3, 4)
+    rows = [(o, p, 1, n, float(q), day) for o in range(1, 40) for n, p, q in ((1, 1, 3), (2, 11, 3), (2, 2, 9), (3, 22, 2), (3, 3, 4), (3, 4, 7))]
+    got = []
+    for i, some in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(some, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        got.append([sorted(map(str, map(tuple, registry.queries()[name](spark, f"{tmp_path}/{i}").collect()))) for name in ("I31_fragment_tracking", "D49_fragment_ratios")])
+    assert got[0] == got[1]

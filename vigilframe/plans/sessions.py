@@ -118,8 +118,12 @@ tr(src, dst, id, k, l_orderkey, l_linenumber, first, stored, total, fin, tiny, o
                           FROM tr t JOIN fr f ON f.src = t.src AND f.dst = t.dst AND f.id = t.id AND f.k = t.k + 1)))))"""
 
 
+#: Lines of an order may share number and day, which the SQL leaves open; place and size decide, else results would depend on files.
+ARRIVAL = ["at", "l_orderkey", "l_linenumber", "offset", "size"]
+
+
 def tracked(spark: SparkSession, sf: str) -> DataFrame:
-    return R.track_fragments(fragments(spark, sf), ["src", "dst", "id"], ["at", "l_orderkey", "l_linenumber"])
+    return R.track_fragments(fragments(spark, sf), ["src", "dst", "id"], ARRIVAL)
 
 
 @register("I31_fragment_tracking", f"WITH RECURSIVE {TRACKED} SELECT l_orderkey, l_linenumber, tiny, overlap, oversized, completed, expired FROM tr WHERE k > 0")
@@ -134,7 +138,7 @@ def fragment_tracking(spark, sf):
  FROM l JOIN ev USING (src), fin GROUP BY src""")
 def fragment_ratios(spark, sf):
     t = tracked(spark, sf)
-    w = Window.partitionBy("src", "dst", "id").orderBy(F.desc("at"), F.desc("l_orderkey"), F.desc("l_linenumber"))
+    w = Window.partitionBy("src", "dst", "id").orderBy(*map(F.desc, ARRIVAL))
     packets = T.table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("src")).agg(F.count(F.lit(1)).alias("packets"))
     t = t.withColumn("latest", F.row_number().over(w) == 1).join(packets, "src")
     out = R.fragment_ratios(t, ["src"], fragments(spark, sf).agg(F.max("at").alias("at")), F.col("packets"))
